@@ -6,6 +6,8 @@ from importlib import import_module
 
 _OPS = {
     "op1_warc": "warc",
+    "op2_simhash": "simhash",
+    "op3_secrets": "secrets",
     "op4_exact_dedup": "exact_dedup",
 }
 
