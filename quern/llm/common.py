@@ -6,6 +6,7 @@ The scanner works on the bytes of an Arrow string column. Words are maximal runs
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,6 +67,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written: it does so once their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text, null as empty."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

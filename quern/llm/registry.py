@@ -9,6 +9,7 @@ _OPS = {
     "op2_simhash": "simhash",
     "op3_secrets": "secrets",
     "op4_exact_dedup": "exact_dedup",
+    "op6_substring_dedup": "substring",
     "op8_decontaminate": "decontaminate",
 }
 
