@@ -9,8 +9,11 @@ _OPS = {
     "op2_simhash": "simhash",
     "op3_secrets": "secrets",
     "op4_exact_dedup": "exact_dedup",
+    "op5_quality": "quality",
     "op6_substring_dedup": "substring",
     "op8_decontaminate": "decontaminate",
+    "op9_lm_score": "lm",
+    "op10_language": "language",
 }
 
 
