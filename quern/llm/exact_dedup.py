@@ -74,14 +74,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     index = fresh_index(docs.sparkSession)
     batch = digests(docs)
     index.append(batch)
-    again = batch.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    keep = index.table().select("text_sha256", F.col("keep_id").alias("doc_id"))
-    keep = keep.join(again, (keep.text_sha256 == again.text_sha256) & keep.doc_id.eqNullSafe(again.doc_id)).select(keep.text_sha256.alias("_sha"), keep.doc_id.alias("_keep"), "n")
+    again = batch.groupBy(F.col("doc_id").alias("_quern_id"), F.col("text_sha256").alias("_quern_of")).agg(F.count(F.lit(1)).alias("_quern_n"))
+    keep = index.table().select(F.col("text_sha256").alias("_quern_sha"), F.col("keep_id").alias("_quern_keep"))
+    keep = keep.join(again, (F.col("_quern_sha") == F.col("_quern_of")) & F.col("_quern_keep").eqNullSafe(F.col("_quern_id"))).select("_quern_sha", "_quern_keep", "_quern_n")
     text = F.regexp_replace(F.coalesce("text", F.lit("")), _OTHER_RUN, " ")
-    with_sha = docs.withColumn("_own_sha", F.sha2(text, 256))
-    stay = with_sha.join(keep, (F.col("_own_sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
-    once = stay.where("n = 1").select(*names)
-    return once.unionByName(stay.where("n > 1").dropDuplicates(["_sha"]).select(*names))
+    own = docs.withColumn("_quern_own", F.sha2(text, 256))
+    stay = own.join(keep, (F.col("_quern_own") == F.col("_quern_sha")) & F.col("doc_id").eqNullSafe(F.col("_quern_keep")))
+    once = stay.where("_quern_n = 1").select(*names)
+    return once.unionByName(stay.where("_quern_n > 1").dropDuplicates(["_quern_sha"]).select(*names))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ _OPS = {
     "op4_exact_dedup": "exact_dedup",
     "op5_quality": "quality",
     "op6_substring_dedup": "substring",
+    "op7_sentencepiece": "pieces",
     "op8_decontaminate": "decontaminate",
     "op9_lm_score": "lm",
     "op10_language": "language",
