@@ -139,19 +139,30 @@ def _fold(parts: list[Column], how: str) -> Column:
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
-def spans(text: Column, rule: Rule, ord_: int) -> Column:
-    """Spans of a rule's matches in code points, end exclusive: between matches lie the pieces that a split leaves."""
-    hits = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    pieces = F.split(text, rule.regex, -1)
-    counted = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.length(x))
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, where a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def one(hit: Column, i: Column) -> Column:
-        start = total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + F.length(hit)).alias("end"), F.lit(rule.kind).alias("kind"), F.length(F.get(counted, i)).alias("n"))
 
-    kept = F.filter(F.transform(hits, one), lambda x: x["n"] >= rule.least)
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind")))
+def spans(text: Column, rule: Rule, ord_: int) -> Column:
+    """Spans of a rule's matches in code points, end exclusive: between matches lie the pieces that a split leaves."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    sizes = F.struct(
+        lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))).alias("hits"),
+        lengths(F.split(text, rule.regex, -1)).alias("pieces"),
+        lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))).alias("counted"),
+    )
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def of(m: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            start = total(F.slice(m["pieces"], F.lit(1), i + 1)) + total(F.slice(m["hits"], F.lit(1), i))
+            return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + hit).alias("end"), F.lit(rule.kind).alias("kind"), F.get(m["counted"], i).alias("n"))
+
+        kept = F.filter(F.transform(m["hits"], one), lambda x: x["n"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+    return _let(sizes, of)
 
 
 def _probe(rule: Rule) -> str:
