@@ -1,3 +1,5 @@
-"""quern: a Spark-native engine for records, vectors, text, graphs and time series."""
+"""quern: a Spark-native engine for records, text, vectors, graphs and time series."""
 
-__version__ = "0.1.0"
+from .session import session
+
+__all__ = ["session"]
