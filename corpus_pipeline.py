@@ -37,9 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near-equal sketches, the one with the smallest doc_id stays."""
-    groups = simhash.near_groups(docs, SHINGLE, RADIUS, WORDS, FULL, distinct=True)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_quern_stay"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_quern_stay")), "left_semi")
+    return simhash.keep_one(docs, simhash.near_groups(docs, SHINGLE, RADIUS, WORDS, FULL, distinct=True))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

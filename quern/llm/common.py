@@ -78,6 +78,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def text_mark() -> Column:
+    """A hash of the whole text, null as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """crc32 of doc_id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_mark
+
 #: Places of a span that count.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 7))
 SPAN = 8
@@ -19,6 +21,8 @@ STRIDE = 2
 #: Equal tokens that a window of so many aligned tokens needs (an item of fewer tokens is one window).
 WINDOW = 13
 SHARE = 0.8
+#: Stands for an item without an id among the items found.
+NO_ID = -1
 
 _NO_WORD = r"[^\p{L}\p{N}]+"
 
@@ -40,14 +44,14 @@ def _seeds(toks: Column, stride: int) -> Column:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (doc_id, item_id, shift): a seed of the item at i is a seed of the document at i + shift.
+    """Distinct (doc_id, mark, item_id, shift): a seed of the item at i is a seed of the document at i + shift.
 
     Both sides meet by hash; the item side is reduced to distinct rows first. Whether it is broadcast is left to the
     session's size threshold, so a benchmark of any size works.
     """
-    left = docs.select("doc_id", F.explode(_seeds(F.col("toks"), STRIDE)).alias("s")).select("doc_id", F.col("s.h").alias("h"), F.col("s.at").alias("d_at"))
+    left = docs.select("doc_id", "mark", F.explode(_seeds(F.col("toks"), STRIDE)).alias("s")).select("doc_id", "mark", F.col("s.h").alias("h"), F.col("s.at").alias("d_at"))
     right = items.select("item_id", F.explode(_seeds(F.col("toks"), 1)).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.at").alias("i_at")).distinct()
-    return left.join(right, "h").select("doc_id", "item_id", (F.col("d_at") - F.col("i_at")).alias("shift")).distinct()
+    return left.join(right, "h").select("doc_id", "mark", "item_id", (F.col("d_at") - F.col("i_at")).alias("shift")).distinct()
 
 
 def _overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -59,27 +63,29 @@ def _overlap(doc: Column, item: Column, shift: Column) -> Column:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_ids (sorted, of items found in the text), overlap (the best share, 0 to 1) for each row of docs.
+    """doc_id, mark, item_ids (sorted, of items found in the text), overlap (the best share, 0 to 1) for each row of docs.
 
     An item is found where a window of 13 of its tokens, or all of a shorter item, agrees with the text in at least
-    0.8 of the places. Null and empty texts hold nothing; items without a token are never found; rows that repeat a
-    doc_id share what any of them holds; a null doc_id is a key like any other; with no items nothing is found.
+    0.8 of the places. Null and empty texts hold nothing; items without a token are never found; rows that share a
+    doc_id, or have none, are told apart by their texts; with no items nothing is found.
     """
-    own = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    same = lambda side: F.col("doc_id").eqNullSafe(F.col(f"{side}_id")) & (F.col("mark") == F.col(f"{side}_mark"))
+    rows = docs.select("doc_id", "text", text_mark().alias("mark"))
+    own = rows.select("doc_id", "mark", tokens(F.col("text")).alias("toks"))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    found = hits(own, items)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("hits")).withColumnRenamed("doc_id", "h_id")
-    texts = docs.select("doc_id", "text").join(lists, docs.doc_id.eqNullSafe(lists.h_id)).select("doc_id", tokens(F.col("text")).alias("toks"), F.explode("hits").alias("hit"))
-    checked = texts.join(items.withColumnRenamed("toks", "item"), F.col("hit.item_id") == F.col("item_id")).withColumn("overlap", _overlap(F.col("toks"), F.col("item"), F.col("hit.shift")))
-    leaks = checked.where(F.col("overlap") >= SHARE).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("overlap")).withColumnRenamed("doc_id", "l_id")
-    out = docs.select("doc_id").join(leaks, F.col("doc_id").eqNullSafe(F.col("l_id")), "left")
-    return out.select("doc_id", F.coalesce("item_ids", F.array().cast(leaks.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    lists = hits(own, items).groupBy(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark")).agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
+    texts = rows.join(lists, same("h")).select("h_id", "h_mark", tokens(F.col("text")).alias("toks"), F.explode("hits").alias("hit"))
+    checked = texts.join(items.withColumnRenamed("toks", "item"), F.col("hit.item_id").eqNullSafe(F.col("item_id"))).withColumn("overlap", _overlap(F.col("toks"), F.col("item"), F.col("hit.shift")))
+    leaks = checked.where(F.col("overlap") >= SHARE).groupBy(F.col("h_id").alias("l_id"), F.col("h_mark").alias("l_mark")).agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(NO_ID)))).alias("item_ids"), F.max("overlap").alias("overlap"))
+    out = rows.select("doc_id", "mark").join(leaks, same("l"), "left")
+    return out.select("doc_id", "mark", F.coalesce("item_ids", F.array().cast(leaks.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    leaked = find_leaks(docs, benchmark).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("l_id")).distinct()
-    return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.l_id), "left_anti")
+    leaked = find_leaks(docs, benchmark).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_quern_id"), F.col("mark").alias("_quern_of")).distinct()
+    own = docs.withColumn("_quern_mark", text_mark())
+    return own.join(leaked, F.col("doc_id").eqNullSafe(F.col("_quern_id")) & (F.col("_quern_mark") == F.col("_quern_of")), "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,11 +37,10 @@ class DigestIndex:
     def new(self, batch: DataFrame) -> DataFrame:
         """Digests of the batch that the index lacks: text_sha256, keep_id (the smallest doc_id), group_size."""
         groups = batch.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            groups = groups.join(self.table().hint("merge").select("text_sha256"), "text_sha256", "left_anti")
-        return groups
+        return groups.join(self.table().hint("merge").select("text_sha256"), "text_sha256", "left_anti") if self.exists() else groups
 
     def append(self, batch: DataFrame) -> None:
+        """Adds what is new of a batch; the first one creates the table. A batch that was appended before adds nothing."""
         (self.new(batch).repartition(self.buckets, "text_sha256").write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name))
 
     def drop(self) -> None:

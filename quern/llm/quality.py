@@ -110,7 +110,7 @@ def _sparse(batches):
             for c, s in zip(counts, stats, strict=True):
                 where = np.flatnonzero(c)
                 rows.append((where.astype(np.int16).tobytes(), c[where].astype(np.int32).tobytes(), s.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)] + [batch.column(1), batch.column(2)], ["at", "n", "stats", "n_chars", "quality"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)] + [batch.column(1), batch.column(2), batch.column(3)], ["at", "n", "stats", "n_chars", "quality", "doc_id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> FactorisationMachine | None:
@@ -118,8 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     picked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & learn).select("doc_id", F.col("quality").cast("int").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
-    rows = rows.join(F.broadcast(picked), "doc_id").select("text", "n_chars", "quality")  # at most `sample` rows of two numbers
-    got = rows.mapInArrow(_sparse, "at binary, n binary, stats binary, n_chars long, quality int").collect()
+    rows = rows.join(F.broadcast(picked), "doc_id").select("text", "n_chars", "quality", "doc_id")  # at most `sample` rows of two numbers
+    sparse = rows.mapInArrow(_sparse, f"at binary, n binary, stats binary, n_chars long, quality int, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    once = sparse.groupBy("doc_id").agg(F.min(F.struct("at", "n", "stats", "n_chars", "quality")).alias("x"))  # of rows that repeat a doc_id, one
+    got = once.select("x.*").collect()
     got = sorted(((r[0], r[1], r[2], r[3], r[4]) for r in got), key=lambda r: tuple(map(bytes, r[:3])) + (r[3], r[4]))
     y = np.array([r[4] for r in got], np.float32)
     if not len(y) or y.min() == y.max():

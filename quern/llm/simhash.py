@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, string_buffers, texts, written
+from .common import mix, string_buffers, text_mark, texts, written
 from .components import connected_components
 
 SEED = 42
@@ -68,11 +68,14 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and sketch, an array of `words` longs; the first is the SimHash fingerprint, the rest come from mixed hashes."""
+    """doc_id, mark and sketch, an array of `words` longs; the first is the SimHash fingerprint, the rest come from mixed hashes.
+
+    The mark, a hash of the text, tells rows that share a doc_id apart.
+    """
 
     def run(batches):
         for batch in batches:
-            raw, at = string_buffers(batch.column(1))
+            raw, at = string_buffers(batch.column(2))
             data, out = raw.tobytes(), []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):  # noqa: B905
                 h = shingle_hashes(data[a:b], shingle)
@@ -84,10 +87,11 @@ def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool =
                 out.append(np.array(own, np.uint64).view(np.int64))
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * words, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "mark", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, sketch array<bigint>")
+    rows = texts(docs).select("doc_id", text_mark().alias("mark"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, mark bigint, sketch array<bigint>")
 
 
 def _roots(up: np.ndarray) -> np.ndarray:
@@ -205,7 +209,7 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFr
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False) -> DataFrame:
-    """doc_id, sketch, component_id (the smallest doc_id reachable over links, itself included) for each row of docs.
+    """doc_id, mark, sketch, root, component_id (the smallest doc_id reachable over links, itself included) for each row of docs.
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id never is a component_id unless
     all of the component are null; an empty table gives no rows. Equal sketches meet once before any comparison.
@@ -219,8 +223,22 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     labelled = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = labelled.join(least, "root").select("id", "component_id")
-    return own.join(found, "id").select("doc_id", "sketch", "component_id")
+    found = labelled.join(least, "root").select("id", "root", "component_id")
+    return own.join(found, "id").select("doc_id", "mark", "sketch", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of each group that stays, with all columns of docs: that with the smallest doc_id, null after all others, then the smallest mark.
+
+    Rows are told apart by doc_id and text; of rows that repeat both, one stays.
+    """
+    n = groups.groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    first = n.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("f"))
+    stay = first.select(F.col("root").alias("_quern_root"), F.col("f.doc_id").alias("_quern_stay"), F.col("f.mark").alias("_quern_of"), F.col("f.n").alias("_quern_n"))
+    own = docs.withColumn("_quern_mark", text_mark())
+    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_quern_stay")) & (F.col("_quern_mark") == F.col("_quern_of")))
+    once = kept.where("_quern_n = 1").select(*docs.columns)
+    return once.unionByName(kept.where("_quern_n > 1").dropDuplicates(["_quern_root"]).select(*docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
