@@ -14,6 +14,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -146,30 +148,35 @@ def _let(value: Column, use) -> Column:
 
 def spans(text: Column, rule: Rule, ord_: int) -> Column:
     """Spans of a rule's matches in code points, end exclusive: between matches lie the pieces that a split leaves."""
+    regex = strict(rule)
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
     sizes = F.struct(
-        lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))).alias("hits"),
-        lengths(F.split(text, rule.regex, -1)).alias("pieces"),
-        lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))).alias("counted"),
+        lengths(F.regexp_extract_all(text, F.lit(regex), F.lit(0))).alias("hits"),
+        lengths(F.split(text, regex, -1)).alias("pieces"),
+        lengths(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group))).alias("counted"),
     )
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
 
     def of(m: Column) -> Column:
-        def one(hit: Column, i: Column) -> Column:
+        def one(i: Column) -> Column:
             start = total(F.slice(m["pieces"], F.lit(1), i + 1)) + total(F.slice(m["hits"], F.lit(1), i))
-            return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + hit).alias("end"), F.lit(rule.kind).alias("kind"), F.get(m["counted"], i).alias("n"))
+            return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + F.get(m["hits"], i)).alias("end"), F.lit(rule.kind).alias("kind"))
 
-        kept = F.filter(F.transform(m["hits"], one), lambda x: x["n"] >= rule.least)
-        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["end"].alias("end"), x["kind"].alias("kind")))
+        # places are added up for the matches that stay alone: a text may have many that don't
+        stay = F.filter(F.sequence(F.lit(0), F.size(m["hits"]) - 1), lambda i: F.get(m["counted"], i) >= rule.least)
+        return F.when(F.size(m["hits"]) > 0, F.transform(stay, one)).otherwise(F.array().cast(_SPAN))
 
     return _let(sizes, of)
 
 
-def _probe(rule: Rule) -> str:
-    """A regex that finds a match long enough to stay, if there is one (it may also find others)."""
-    head, plus = rule.regex[:-1], rule.regex.endswith("+")
-    fixed = {"access": 4, "hex": 0, "assign": 0}.get(rule.kind)
-    return f"{head}{{{rule.least - fixed},}}" if plus and fixed is not None and rule.kind != "assign" else rule.regex
+#: Fixed characters before the run that ends these rules' regexes. A match is one run of characters, so asking for the
+#: least length in the regex finds the very matches that stay: what is too short holds no other match.
+_RUNS = {"access": 4, "hex": 0}
+
+
+def strict(rule: Rule) -> str:
+    """The rule's regex, with its least length where that changes no other match."""
+    return f"{rule.regex[:-1]}{{{rule.least - _RUNS[rule.kind]},}}" if rule.kind in _RUNS else rule.regex
 
 
 def find_secrets(docs: DataFrame, index: TrigramIndex | None = None) -> DataFrame:
@@ -177,15 +184,18 @@ def find_secrets(docs: DataFrame, index: TrigramIndex | None = None) -> DataFram
 
     Null texts count as empty; rows that repeat a doc_id are each searched in their own text; a null doc_id is a key
     like any other; an empty table gives no rows. The index only narrows where a regex runs, never what it finds.
+
+    The candidates are written first, so that their size is known: few are broadcast under the session's threshold and
+    no text moves, many are joined by sort-merge.
     """
     index = index or TrigramIndex()
-    cand = index.candidates(index.postings(docs)).withColumnRenamed("doc_id", "c_id")
+    cand = written(index.candidates(index.postings(docs)).withColumnRenamed("doc_id", "c_id"), "candidates")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(cand, rows.doc_id.eqNullSafe(cand.c_id), "left")
     text, none = F.col("text"), F.array().cast(_SPAN)
     parts = []
     for i, rule in enumerate(index.rules):
-        where = text.rlike(_probe(rule))
+        where = text.rlike(strict(rule))
         if index.queries[rule.kind]:
             where = F.coalesce(F.col(f"has_{rule.kind}"), F.lit(False)) & where
         parts.append(F.when(where, spans(text, rule, i)).otherwise(none).alias(f"s_{rule.kind}"))
