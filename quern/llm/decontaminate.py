@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_mark
+from .common import text_mark, written
 
 #: Places of a span that count.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 7))
@@ -68,15 +68,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item is found where a window of 13 of its tokens, or all of a shorter item, agrees with the text in at least
     0.8 of the places. Null and empty texts hold nothing; items without a token are never found; rows that share a
     doc_id, or have none, are told apart by their texts; with no items nothing is found.
+
+    Hits and leaks are written first, so that their size is known: few are broadcast under the session's threshold and
+    no text moves, many are joined by sort-merge.
     """
     same = lambda side: F.col("doc_id").eqNullSafe(F.col(f"{side}_id")) & (F.col("mark") == F.col(f"{side}_mark"))
     rows = docs.select("doc_id", "text", text_mark().alias("mark"))
     own = rows.select("doc_id", "mark", tokens(F.col("text")).alias("toks"))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
     lists = hits(own, items).groupBy(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark")).agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
+    lists = written(lists, "hits")
     texts = rows.join(lists, same("h")).select("h_id", "h_mark", tokens(F.col("text")).alias("toks"), F.explode("hits").alias("hit"))
     checked = texts.join(items.withColumnRenamed("toks", "item"), F.col("hit.item_id").eqNullSafe(F.col("item_id"))).withColumn("overlap", _overlap(F.col("toks"), F.col("item"), F.col("hit.shift")))
     leaks = checked.where(F.col("overlap") >= SHARE).groupBy(F.col("h_id").alias("l_id"), F.col("h_mark").alias("l_mark")).agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(NO_ID)))).alias("item_ids"), F.max("overlap").alias("overlap"))
+    leaks = written(leaks, "leaks")
     out = rows.select("doc_id", "mark").join(leaks, same("l"), "left")
     return out.select("doc_id", "mark", F.coalesce("item_ids", F.array().cast(leaks.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
