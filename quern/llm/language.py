@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Trained with follow-the-regularised-leader and elastic-net penalties on a bounded sample (`per_class` rows of each
-language, those with the smallest hash of doc_id); document frequencies come from all rows that may be learned from. A
+language, those with the smallest hash of doc_id and text); document frequencies come from all rows that may be learned from. A
 temperature is fitted on a part of the sample that the weights haven't seen.
 """
 
@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, written
 
 BITS = 14
 DIM = 1 << BITS
 #: Rows of each language that the weights and the temperature are fitted on, at most.
 PER_CLASS = 800
+OVER = 4
 UNDECIDED = "und"
 _CHUNK = 1 << 21  # characters that are counted at once, about
 
@@ -152,12 +153,28 @@ def _frequencies(batches):
 
 def _sparse(batches):
     for batch in batches:
-        langs, out = batch.column(1).to_pylist(), []
+        langs, hs, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
         for first, counts, _ in ngram_counts(batch.column(0).to_pylist()):
             for i, c in enumerate(counts):
                 at = np.flatnonzero(c)
-                out.append((langs[first + i], at.astype(np.int32).tobytes(), np.minimum(c[at], 65535).astype(np.uint16).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["lang", "at", "n"])
+                out.append((langs[first + i], hs[first + i], at.astype(np.int32).tobytes(), np.minimum(c[at], 65535).astype(np.uint16).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "at", "n"])
+
+
+def _picked(rows: DataFrame, per_class: int) -> DataFrame:
+    """lang, at, n of the rows of each language with the smallest hashes, per_class at most; rows that repeat count once.
+
+    Only rows under a hash that leaves about OVER times as many as are wanted are ranked, so no task gets a language's
+    rows. What is broadcast has one row a language, as the model has one column a language.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    few = rows.select("lang", h.alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**63 * F.col("rows") <= OVER * per_class).groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_class)
+    last = written(ranked.groupBy("lang").agg(F.max("h").alias("last")), "last")
+    picked = rows.withColumn("h", h).join(F.broadcast(last), "lang").where(F.col("h") <= F.col("last"))
+    once = picked.select("text", "lang", "h").mapInArrow(_sparse, "lang string, h long, at binary, n binary").groupBy("lang", "h").agg(F.min(F.struct("at", "n")).alias("x"))
+    return once.select("lang", "x.at", "x.n")
 
 
 def train(docs: DataFrame, learn: Column, per_class: int = PER_CLASS) -> LanguageModel | None:
@@ -170,10 +187,7 @@ def train(docs: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Languag
         return None
     df = np.array([found.get(i, 0) for i in range(DIM)])
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).select("doc_id")
-    picked = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # at most per_class ids of each language
-    sample = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.uint16)) for r in picked.select("text", "lang").mapInArrow(_sparse, "lang string, at binary, n binary").collect()]
+    sample = [(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.uint16)) for r in _picked(rows, per_class).collect()]
     sample.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     classes = sorted({r[0] for r in sample})
     data = []
