@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scoring import contains_any
+from .text import once
 
 # How languages declare what they name.
 SYMBOLS = (
@@ -107,10 +108,14 @@ def captures(text: Column) -> Column:
     The first phrase, in the order of the lists, whose first line has 20 bytes and isn't a known false alarm; texts
     under 30 bytes or with a phrase that rules captures out give none. A decision is never on the error's line.
     """
-    lines = F.split(text, r"\r?\n")
+    none = F.array().cast("array<struct<kind:string,summary:string>>")
+    found = once(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), _captures)
+    return F.when((F.octet_length(text) >= 30) & ~contains_any(F.lower(text), NO_CAPTURE) & contains_any(F.lower(text), ERRORS + DECISIONS), found).otherwise(none)
+
 
+def _captures(lines: Column) -> Column:
     def line_with(phrase: str) -> Column:
-        return F.trim(F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit(phrase))), F.lit(0)))
+        return F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit(phrase))), F.lit(0))
 
     def sound(phrase: str, line: Column) -> Column:
         low = F.lower(line)
@@ -123,18 +128,19 @@ def captures(text: Column) -> Column:
             return good & contains_any(low, CANNOT_FIND_NEEDS)
         return good & contains_any(low, FATAL_NEEDS) if phrase == "fatal" else good
 
-    error = F.coalesce(*(F.when(sound(p, line_with(p)), line_with(p)) for p in ERRORS))
+    def error_line(phrase: str) -> Column:
+        return once(line_with(phrase), lambda line: F.when(sound(phrase, line), line))
+
+    error = F.coalesce(*map(error_line, ERRORS))
 
     def decision(taken: Column) -> Column:
         def line(phrase: str) -> Column:
-            return F.get(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.contains(F.lower(x), F.lit(phrase)) & ~F.coalesce(x == taken, F.lit(False))), F.lit(0))
+            return F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit(phrase)) & ~F.coalesce(x == taken, F.lit(False))), F.lit(0))
 
         return F.coalesce(*(F.when(F.octet_length(line(p)) >= 20, line(p)) for p in DECISIONS))
 
     entry = lambda kind, line: F.struct(F.lit(kind).alias("kind"), F.substring(line, 1, 200).alias("summary"))
-    both = F.filter(F.array(entry("error", error), entry("decision", decision(error))), lambda x: x["summary"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,summary:string>>")
-    return F.when((F.octet_length(text) >= 30) & ~contains_any(F.lower(text), NO_CAPTURE), both).otherwise(none)
+    return once(error, lambda e: F.filter(F.array(entry("error", e), entry("decision", decision(e))), lambda x: x["summary"].isNotNull()))
 
 
 # Words that tell the type of a memory.

@@ -25,6 +25,11 @@ NO_WORD = r"[^\p{L}\p{N}]+"
 TEXT_FIELDS = ("full_text", "content", "text", "description", "message", "summary", "fact", "error", "statement")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once a row, where its uses (in lambdas above all) would each compute it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized(text: Column) -> Column:
     """Lower-cased, with single spaces between words and none around."""
     return F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import saturated
-from ..functions.text import levenshtein_transposed, tokens
+from ..functions.text import levenshtein_transposed, once, tokens
 from ..model import MAX_QUERY_BYTES, QueryError
 
 K1, B = 1.2, 0.75
@@ -77,24 +77,21 @@ def parse_text_query(text: str) -> TextQuery:
 def has_phrase(toks: Column, phrase: Phrase) -> Column:
     """Whether the words stand one after the other; with slop, in order within so many places more."""
     words = phrase.words
-    at = F.sequence(F.lit(0), F.size(toks) - len(words))
-
-    def here(i: Column) -> Column:
-        if not phrase.slop:
-            out = F.get(toks, i) == words[0]
-            for k, w in enumerate(words[1:], 1):
-                out = out & (F.get(toks, i + k) == w)
-            return out
-        last = F.lit(0)
-        window = F.slice(toks, i + 1, F.lit(len(words) + phrase.slop))
-        ok = F.get(toks, i) == words[0]
-        for w in words[1:]:
-            nxt = F.array_position(F.slice(window, last + 2, F.size(window)), w).cast("int")
-            ok = ok & (nxt > 0)
-            last = last + nxt
-        return ok
-
-    return F.when(F.size(toks) >= len(words), F.coalesce(F.exists(at, here), F.lit(False))).otherwise(False)
+    if not phrase.slop:
+        return F.contains(F.concat(F.lit(" "), F.concat_ws(" ", toks), F.lit(" ")), F.lit(f" {' '.join(words)} "))
+
+    def within(ts: Column) -> Column:
+        def here(i: Column) -> Column:
+            window, last, ok = F.slice(ts, i + 1, F.lit(len(words) + phrase.slop)), F.lit(0), F.get(ts, i) == words[0]
+            for w in words[1:]:
+                nxt = F.array_position(F.slice(window, last + 2, F.size(window)), w).cast("int")
+                ok = ok & (nxt > 0)
+                last = last + nxt
+            return ok
+
+        return F.exists(F.sequence(F.lit(0), F.size(ts) - len(words)), here)
+
+    return F.when(F.size(toks) >= len(words), F.coalesce(once(toks, within), F.lit(False))).otherwise(False)
 
 
 def _holds(toks: Column, unit: str | Phrase) -> Column:
@@ -116,14 +113,16 @@ def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Co
     own = df if within is None else df.withColumn("_within", within)
     toks = own.select(key, tokens(F.col(field)).alias("_toks"), *(["_within"] if within is not None else []))
     units = [u for u in dict.fromkeys((*q.phrases, *q.required, *q.excluded)) if isinstance(u, Phrase)]
-    counted = toks.select(
-        key,
-        F.size("_toks").alias("_dl"),
-        *(_count(F.col("_toks"), t).alias(f"_tf{i}") for i, t in enumerate(q.terms)),
-        *(_holds(F.col("_toks"), u).alias(f"_u{i}") for i, u in enumerate(units)),
-        *(F.array_contains("_toks", u).alias(f"_x_{i}") for i, u in enumerate(q.excluded) if isinstance(u, str)),
-        *(["_within"] if within is not None else []),
-    )
+
+    def counts(ts: Column) -> Column:
+        return F.struct(
+            F.size(ts).alias("_dl"),
+            *(_count(ts, t).alias(f"_tf{i}") for i, t in enumerate(q.terms)),
+            *(_holds(ts, u).alias(f"_u{i}") for i, u in enumerate(units)),
+            *(F.array_contains(ts, u).alias(f"_x_{i}") for i, u in enumerate(q.excluded) if isinstance(u, str)),
+        )
+
+    counted = toks.select(key, once(F.col("_toks"), counts).alias("_c"), *(["_within"] if within is not None else [])).select(key, "_c.*", *(["_within"] if within is not None else []))
     n = range(len(q.terms))
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"_df{i}") for i in n))
     hit = F.col("_tf0") > 0

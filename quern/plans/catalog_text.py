@@ -89,7 +89,7 @@ def _(t):
     return search.fuzzy_terms(t.documents, "text", "hath", 1)
 
 
-@query("postings", rf"SELECT term, doc_id, CAST(dl AS INT) AS dl, count(*) AS tf FROM (SELECT doc_id, len({toks('text')}) AS dl, unnest({toks('text')}) AS term FROM documents) GROUP BY 1, 2, 3")
+@query("postings", rf"WITH x AS MATERIALIZED (SELECT doc_id, {toks('text')} AS w FROM documents), y AS MATERIALIZED (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM x) SELECT term, doc_id, CAST(dl AS INT) AS dl, count(*) AS tf FROM y GROUP BY 1, 2, 3")
 def _(t):
     return search.postings(t.documents, "doc_id", "text")
 
