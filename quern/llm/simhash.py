@@ -3,7 +3,9 @@
 Fingerprints of a tile pair are compared all with all: numpy exclusive-or and bit counts, in blocks sorted by
 population count, and blocks whose counts differ beyond the radius are skipped. Small radii get their tiles inside
 buckets: of radius + 2 bit blocks, two fingerprints within the radius agree on at least two, so each pair of blocks
-is a bucket key and no link is lost. Larger radii get tiles over ranges of population counts.
+is a bucket key and no link is lost. Larger radii get tiles over ranges of population counts, which is exact and grows
+with the square of the fingerprints; or, for wide sketches of whole corpora, tiles inside buckets of banded minima of
+the shingle hashes (`bands`), which texts of a similarity of 0.8 fail to share about once in a million pairs.
 A tile pair gives the links of a spanning forest, never all its pairs.
 """
 
@@ -67,8 +69,29 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, mark and sketch, an array of `words` longs; the first is the SimHash fingerprint, the rest come from mixed hashes.
+_RNG = np.random.default_rng(808)
+_FACTORS = _RNG.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(1, 2**63, 1024, dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of `rows` minima of permuted hashes; none of no hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+    for a in range(0, len(hashes), 2048):
+        part = hashes[None, a : a + 2048] * _FACTORS[: len(least), None] + _TERMS[: len(least), None]
+        least = np.minimum(least, part.min(axis=1))
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = mix(keys ^ column)
+    return keys
+
+
+def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False, bands: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, mark, sketch (an array of `words` longs) and keys (of each band; null without bands).
+
+    The sketch's first word is the SimHash fingerprint, the rest come from mixed hashes.
 
     The mark, a hash of the text, tells rows that share a doc_id apart.
     """
@@ -76,10 +99,11 @@ def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool =
     def run(batches):
         for batch in batches:
             raw, at = string_buffers(batch.column(2))
-            data, out = raw.tobytes(), []
+            data, out, keys = raw.tobytes(), [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):  # noqa: B905
                 h = shingle_hashes(data[a:b], shingle)
                 h = np.unique(h) if distinct else h
+                keys.append(band_keys(h, *bands).view(np.int64).tolist() if bands else None)
                 own = []
                 for _ in range(words):
                     own.append(majority(h))
@@ -87,11 +111,11 @@ def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool =
                 out.append(np.array(own, np.uint64).view(np.int64))
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * words, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "mark", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "sketch", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts(docs).select("doc_id", text_mark().alias("mark"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, mark bigint, sketch array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, mark bigint, sketch array<bigint>, keys array<bigint>")
 
 
 def _roots(up: np.ndarray) -> np.ndarray:
@@ -171,19 +195,27 @@ def _linker(radius: int, full: int | None):
 def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFrame:
     """Links (a, b) between nodes (id, sketch): a forest with the components of all pairs within the radius.
 
-    full: what all words of the sketch may differ by, beside the first.
+    full: what all words of the sketch may differ by, beside the first. Nodes with a column keys meet in the buckets
+    that these name. Only nodes that share a bucket take their sketches along.
     """
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fp = F.col("sketch")[0]
-    if radius <= 2:
+    if radius <= 2 or "keys" in nodes.columns:
         blocks = radius + 2
         width = 64 // blocks
-        cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
-        keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
-        keyed = nodes.select("id", "sketch", F.explode(keys).alias("bucket"))
-        sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = keyed.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+        if "keys" in nodes.columns:
+            keyed = nodes.select("id", F.explode("keys").alias("bucket"))
+            sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            shared = written(keyed.join(sizes, "bucket"), "shared")
+            rows = shared.join(nodes.select("id", "sketch"), "id")
+        else:
+            cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
+            keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
+            keyed = nodes.select("id", "sketch", F.explode(keys).alias("bucket"))
+            sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            rows = keyed.join(sizes, "bucket")
+        rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
         tiles = rows.groupBy("bucket", "tile", "tiles").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"))
         first, last, at = F.lit(0).cast("long"), F.col("tiles") - 1, F.col("tile")
     else:
@@ -208,18 +240,18 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFr
     return pairs.mapInArrow(_linker(radius, full), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False, bands: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, mark, sketch, root, component_id (the smallest doc_id reachable over links, itself included) for each row of docs.
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id never is a component_id unless
     all of the component are null; an empty table gives no rows. Equal sketches meet once before any comparison.
     """
-    own = written(sketches(docs, shingle, words, distinct), "sketches")
+    own = written(sketches(docs, shingle, words, distinct, bands), "sketches")
     ident = F.col("sketch")[0] if words == 1 else F.xxhash64("sketch")
     own = own.withColumn("id", ident)
-    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("doc_id").alias("least"))
     nodes = written(nodes, "nodes")
-    roots = connected_components(near_links(nodes.select("id", "sketch"), radius, full))
+    roots = connected_components(near_links(nodes.select("id", "sketch", *(["keys"] if bands else [])), radius, full))
     labelled = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
