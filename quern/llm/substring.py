@@ -11,6 +11,8 @@ stream, so an anchor or passage of any frequency takes bounded memory.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -127,14 +129,17 @@ def _repeats(batches):
 
 
 def _strip(batches):
-    """n_words, n_removed and the kept words for each row (…, text, places)."""
+    """n_words, n_removed and the kept words for each row (doc_id, text, places, copy)."""
     for batch in batches:
         raw, at = string_buffers(batch.column(1))
         data, counts, removed, kept = raw.tobytes(), [], [], []
-        for a, b, places in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2)):  # noqa: B905
+        for a, b, places, copy in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2), batch.column(3).to_pylist()):  # noqa: B905
             words = data[a:b].split()
             counts.append(len(words))
-            if places.is_valid and len(places):
+            if copy and len(words) >= WINDOW:
+                removed.append(len(words))
+                kept.append(b"")
+            elif places.is_valid and len(places):
                 p = places.values.to_numpy()
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, p, 1)
@@ -148,28 +153,60 @@ def _strip(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row of docs.
+def _dealt(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, same, text as a table bucketed by the first two: texts are dealt out once, and every later join finds them in place.
 
-    Null texts have no words; a null doc_id is neither smaller nor larger than any, so its words stay and remove
-    none; rows that repeat a doc_id don't remove each other's words; an empty table gives no rows.
+    The mark is 0 but where rows share a doc_id; it tells those apart. same is a hash of the text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.hash("text").alias("mark"), "text")  # the mark tells rows with one doc_id apart
-    known = rows.where("doc_id IS NOT NULL")
-    anchors = known.mapInArrow(_anchors, "h long, doc_id long, mark int").repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    shared = written(anchors.mapInArrow(_shared, "doc_id long, mark int, hs array<long>"), "anchors")
+    repeated = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("repeated")), "repeated")
+    marked = rows.join(repeated, "doc_id", "left").select("doc_id", F.when(F.col("repeated"), F.hash("text")).otherwise(0).alias("mark"), F.xxhash64("text").alias("same"), "text")
+    name = f"texts_{uuid.uuid4().hex}"
+    marked.repartition(n, "doc_id", "mark").write.format("parquet").option("compression", "zstd").bucketBy(n, "doc_id", "mark").saveAsTable(name)
     release(spark)
+    return spark.table(name)
+
+
+def _later_copies(known: DataFrame) -> DataFrame:
+    """doc_id, mark, copy of rows whose whole text a smaller doc_id has: their windows all are repeats, and make none that the first lacks."""
+    keys = known.select("doc_id", "mark", "same")
+    first = keys.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(keys.join(first, "same").where("doc_id > first").select("doc_id", "mark", F.lit(True).alias("copy")).distinct(), "copies")
+
+
+def _shared_anchors(known: DataFrame, n: int) -> DataFrame:
+    anchors = known.select("doc_id", "mark", "text").mapInArrow(_anchors, "h long, doc_id long, mark int").repartition(n, "h").sortWithinPartitions("h", "doc_id")
+    return written(anchors.mapInArrow(_shared, "doc_id long, mark int, hs array<long>"), "anchors")
+
+
+def _late_windows(known: DataFrame, shared: DataFrame, n: int) -> DataFrame:
     lists = shared.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("hs")).alias("hs"))
     found = known.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_candidates, "h long, doc_id long, mark int, place int")
     found = found.repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    late = written(found.mapInArrow(_repeats, "doc_id long, mark int, places array<int>"), "repeats")
+    return written(found.mapInArrow(_repeats, "doc_id long, mark int, places array<int>"), "repeats")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row of docs.
+
+    Null texts have no words; a null doc_id is neither smaller nor larger than any, so its words stay and remove
+    none; rows that repeat a doc_id don't remove each other's words; an empty table gives no rows. Of equal texts only
+    those with the smallest doc_id are searched.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = _dealt(docs)
+    copies = _later_copies(rows.where("doc_id IS NOT NULL"))
+    known = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "mark"], "left_anti")
+    shared = _shared_anchors(known, n)
+    release(spark)
+    late = _late_windows(known, shared, n)
     release(spark)
     places = late.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
-    both = rows.join(places, ["doc_id", "mark"], "left").select("doc_id", "text", "places")
+    both = rows.join(places, ["doc_id", "mark"], "left").join(copies, ["doc_id", "mark"], "left").select("doc_id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
     return both.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
