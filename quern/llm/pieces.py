@@ -7,7 +7,8 @@ arcs weigh nothing, and the lexicon is composed with an acceptor of piece pairs:
 side by side weighs infinity. A sequence whose pairs all are left side by side is what merging gives for the whole, so
 the tropical shortest path is the library's encoding.
 
-No piece reaches from a letter over a following blank, so inputs are cut before blanks and paths of short parts kept.
+Where no piece has two symbols side by side, no path crosses between them. So inputs are cut before blanks and between
+letters and the marks that no piece has beside a letter, and the paths of short parts are kept.
 """
 
 from __future__ import annotations
@@ -107,19 +108,26 @@ class PieceTransducer:
     def __init__(self, model: PieceModel):
         self.model = model
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k in (NORMAL, USER)}  # noqa: B905
+        self.codes = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.score = {p: model.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}  # noqa: B905
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == UNKNOWN), 0)
         self.unknown_cost = 10 - min(self.score.values(), default=0.0)
         self.bpe = model.model_type == BPE
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.pairs: dict[str | None, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.paths: dict[str, bytes] = {}
         crosses = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         single = "".join(re.escape(c) for c in map(chr, range(32)) if c not in joined)
         self.parts = re.compile(r"(?s).+") if crosses else re.compile(f"(?s)[{single}]|{BLANK}*[^{BLANK}{single}]+|{BLANK}+")
+        letter = re.compile(r"[^\W\d_]")
+        beside = {c for p in self.ids for a, b in zip(p, p[1:]) if bool(letter.match(a)) != bool(letter.match(b)) for c in (a, b)}  # noqa: B905
+        marks = "".join(re.escape(c) for c in sorted(joined - beside) if not letter.match(c) and c != BLANK)
+        self.cuts = re.compile(rf"(?<=[^\W\d_])(?=[{marks}])|(?<=[{marks}])(?=[^\W\d_])") if marks and not crosses else None
+        #: The lexicon's prefixes, and whether one is an arc: a piece, or a symbol alone.
+        self.lexicon = {p[:k]: k == 1 for p in self.ids for k in range(1, len(p) + 1)} | dict.fromkeys(self.ids, True)
         blob = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k in (NORMAL, USER, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]  # noqa: B905
         self.sizes = np.array([len(b) for b in blob], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -147,43 +155,70 @@ class PieceTransducer:
 
     def stays(self, left: str | None, right: str) -> bool:
         """Whether merging leaves left and right side by side (at a start: right alone)."""
-        if left is None:
-            got = self.alone.get(right)
-            if got is None:
-                got = self.alone[right] = len(right) == 1 or self.merged(right) == [right]
-            return got
-        key = (left, right)
-        got = self.pairs.get(key)
+        known = self.pairs.setdefault(left, {})
+        got = known.get(right)
         if got is None:
-            if len(self.pairs) >= _KEPT_PAIRS:
+            if self.n_pairs >= _KEPT_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[key] = self.merged(left + right) == [left, right]
+                self.n_pairs = 0
+            got = known[right] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
+            self.n_pairs += 1
         return got
 
     def shortest_path(self, part: str) -> list[str]:
         """The pieces (or symbols that no piece has) of the tropical shortest path over a part of a normalised input."""
-        n = len(part)
-        cost = [0.0] + [float("inf")] * n
-        last: list[str | None] = [None] * (n + 1)
-        known, score, bpe = self.ids, self.score, self.bpe
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                base = cost[start]
-                if base == float("inf"):
+        return self._merging(part) if self.bpe else self._weighted(part)
+
+    def _merging(self, part: str) -> list[str]:
+        """Every finite path weighs nothing, so the first to reach the end is a shortest one: depth first, long arcs first.
+
+        Merging has one result for every beginning of a part, so a place is entered by one finite path at most, and one
+        that led nowhere needs no second visit.
+        """
+        arc, pairs, stays, n = self.lexicon.get, self.pairs, self.stays, len(part)
+        out: list[str] = []
+        kept: list[list[str]] = []  # arcs not tried yet, for each piece of out
+        dead: set[int] = set()
+        start, left = 0, None
+        while start < n:
+            arcs = []
+            for end in range(start + 1, n + 1):
+                piece = part[start:end]
+                there = arc(piece)
+                if there is None:
+                    break
+                if there:
+                    arcs.append(piece)
+            arcs = arcs or [part[start]]  # a symbol that no piece has
+            while True:
+                if not arcs:
+                    dead.add(start)
+                    start -= len(out.pop())
+                    arcs, left = kept.pop(), out[-1] if out else None
                     continue
+                piece = arcs.pop()
+                seen = pairs.get(left)
+                if start + len(piece) not in dead and (seen[piece] if seen and piece in seen else stays(left, piece)):
+                    break
+            out.append(piece)
+            kept.append(arcs)
+            start, left = start + len(piece), piece
+        return out
+
+    def _weighted(self, part: str) -> list[str]:
+        """States are left in the order of their places, so a state's weight is final when it is left."""
+        known, arc, score, n = self.ids, self.lexicon, self.score, len(part)
+        last: list[str | None] = [None] * (n + 1)
+        cost = [0.0] + [float("inf")] * n
+        for start in range(n):
+            base = cost[start]
+            for end in range(start + 1, n + 1):
                 piece = part[start:end]
-                if piece in known:
-                    if bpe:
-                        if self.stays(last[start], piece):
-                            cost[end], last[end] = 0.0, piece
-                            break
-                    elif base - score[piece] < cost[end]:
-                        cost[end], last[end] = base - score[piece], piece
-                elif end - start == 1:
-                    if bpe:
-                        cost[end], last[end] = 0.0, piece
-                    elif base + self.unknown_cost < cost[end]:
-                        cost[end], last[end] = base + self.unknown_cost, piece
+                if end > start + 1 and piece not in arc:
+                    break
+                weight = -score[piece] if piece in known else self.unknown_cost if end == start + 1 else None
+                if weight is not None and base + weight < cost[end]:
+                    cost[end], last[end] = base + weight, piece
         out, at = [], n
         while at:
             out.append(last[at])
@@ -191,23 +226,24 @@ class PieceTransducer:
         return out[::-1]
 
     def _ids(self, part: str) -> bytes:
-        out: list[int] = []
-        for p in self.shortest_path(part):
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode())
-            else:
-                out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+        codes, path = self.codes, self.shortest_path(part)
+        try:
+            return b"".join([codes[p] for p in path])
+        except KeyError:  # a symbol that no piece has: its bytes, else the unknown piece
+            rest = lambda p: [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
+            return b"".join([codes[p] if p in codes else np.array(rest(p), np.int32).tobytes() for p in path])
+
+    def _path(self, part: str) -> bytes:
+        """Ids of a part, put together from those of its own parts where it has some."""
+        inner = self.cuts.split(part) if self.cuts else ()
+        return b"".join([self.paths.get(p) or self._ids(p) for p in inner]) if len(inner) > 1 else self._ids(part)
 
     def encode(self, text: str) -> np.ndarray:
         paths, out = self.paths, []
         for part in self.parts.findall(self.normalise(text)):
             got = paths.get(part)
             if got is None:
-                got = self._ids(part)
+                got = self._path(part)
                 if len(part) <= 64:
                     if len(paths) >= _KEPT_PATHS:
                         paths.clear()
