@@ -4,8 +4,8 @@ P(word | context) = P(class | context) P(word | class). The most frequent words
 a class by their last byte. The class factor is a maximum-entropy model over hashed features of the words before: the
 last word, the last two classes, and skip features of the second, third and fourth last. It is trained by distributed
 gradient updates: each task takes steps on its documents, and after a round the tasks' weights are averaged. In each
-round every training document gives one block of consecutive tokens, at a place its text decides. The word factor is
-add-one smoothing over all training tokens of the class.
+round every token of every training document is in one step. The word factor is add-one smoothing over all training
+tokens of the class.
 
 Counts are exact and never gathered in one place: words are counted within buckets of documents, summed by word, and
 go back to the buckets that hold the word; a bucket's own dictionary is all that a task keeps. Words are told apart by
@@ -33,7 +33,6 @@ _HASHED = 4096
 _OFFSETS = (0, _SIDE * _SIDE, _SIDE * _SIDE + _HASHED, _SIDE * _SIDE + 2 * _HASHED, 2 * _SIDE * _SIDE + 2 * _HASHED)
 ROWS = _OFFSETS[-1] + 1
 END = np.uint64(0x5EED0E4D00000000)
-BLOCK_TOKENS = 64
 ROUNDS = 2
 _PART = 512  # rows of weights that travel together
 _STEP = 4096
@@ -218,7 +217,7 @@ def model_of(words: DataFrame) -> LanguageModel:
     return LanguageModel(top, tokens, distinct, n, v)
 
 
-def _trainer(model: LanguageModel, round_: int):
+def _trainer(model: LanguageModel):
     def run(batches):
         w = np.zeros((ROWS, CLASSES), np.float32) if model.weights is None else model.weights.copy()
         g2, seen = np.full(w.shape, 1e-3, np.float32), 0
@@ -230,13 +229,8 @@ def _trainer(model: LanguageModel, round_: int):
                 tokens, first = token_ids(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 cls = model.classes(tokens)
                 feats = features(tokens, cls, first)
-                size = np.diff(first)
-                spare = np.maximum(size - BLOCK_TOKENS, 0)
-                begin = first[:-1] + (mix(tokens[first[:-1]] + size.astype(np.uint64) + np.uint64(round_)) % (spare.astype(np.uint64) + np.uint64(1))).astype(np.int64)
-                take = np.minimum(size, BLOCK_TOKENS)
-                rows = np.repeat(begin, take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                fs.append(feats[rows])
-                cs.append(cls[rows])
+                fs.append(feats)
+                cs.append(cls)
                 if sum(map(len, cs)) >= _STEP:
                     f, c = np.concatenate(fs), np.concatenate(cs)
                     for i in range(0, len(c) - _STEP + 1, _STEP):
@@ -276,8 +270,8 @@ def _average(batches):
 def train(rows: DataFrame, model: LanguageModel, rounds: int = ROUNDS) -> LanguageModel:
     """Fits the class factor on the rows with learn; its weights are of a fixed size (ROWS x CLASSES)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for r in range(rounds):
-        own = rows.where("learn").select("text").mapInArrow(_trainer(model, r), "part int, w binary, seen long")
+    for _ in range(rounds):
+        own = rows.where("learn").select("text").mapInArrow(_trainer(model), "part int, w binary, seen long")
         mean = own.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_average, "part int, w binary").collect()
         if not mean:
             break

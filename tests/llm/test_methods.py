@@ -211,6 +211,23 @@ def test_model_beats_unigrams_on_text_it_has_not_seen(spark):
     assert got[0] > 0.75 * got[1]  # log-probabilities: nearer to zero is better
 
 
+def test_training_takes_every_token_of_every_text():
+    """Texts of equal length and first word, but another middle, give other weights; each token is in one step of a round."""
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    one = prose(rng, 20_000).split()
+    other = one[:9_000] + ["zebra"] * 500 + one[9_500:]
+    model = lm.LanguageModel(np.sort(lm.token_ids(np.frombuffer(b"the of zebra", np.uint8), np.array([0, 12]))[0][:3]), np.ones(lm.CLASSES), np.ones(lm.CLASSES), 1, 1)
+    weights = []
+    for ws in (one, other):
+        texts = [" ".join(ws), "", "a few words", " "]
+        got = [b.to_pylist() for b in lm._trainer(model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])]
+        assert {r["seen"] for part in got for r in part} == {20_000 + 1 + 1 + 3 + 1 + 1}
+        weights.append(b"".join(r["w"] for part in got for r in part))
+    assert weights[0] != weights[1]
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
