@@ -1,23 +1,22 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-A seed is the hash of the tokens that a fixed mask keeps out of a span of tokens; what the mask ignores may differ.
-Documents are seeded at every second token, benchmark items at every token, so any seed of an item that a document
-repeats at an even place is found, and with two masks a substitution that spoils one often leaves the other. Each
-hit names a document, an item and the distance between their places; at that distance the two are compared token by
-token, which tolerates substitutions.
+A seed is the hash of the tokens that a mask keeps out of a span of tokens; what the mask ignores may differ. Documents
+and items are seeded at every token. An item is found where enough of a window of 13 tokens, or of the whole of a
+shorter item, agrees, which allows 2 substitutions in 10 to 13 tokens, 1 in 5 to 9 and none in fewer; each number of
+tokens has masks of which one at least avoids any allowed set of substitutions. Each hit names a document, an item and the distance between their places; at that distance the two are
+compared token by token, which tolerates substitutions.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_mark, written
 
-#: Places of a span that count.
-MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 7))
-SPAN = 8
-STRIDE = 2
 #: Equal tokens that a window of so many aligned tokens needs (an item of fewer tokens is one window).
 WINDOW = 13
 SHARE = 0.8
@@ -32,25 +31,44 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _NO_WORD), lambda x: x != "")
 
 
-def _seeds(toks: Column, stride: int) -> Column:
-    """An array of (h, at) over all masks; token lists shorter than a span are seeded whole with each mask's places that exist."""
-    last = F.greatest(F.size(toks) - SPAN, F.lit(0))
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """Masks for items of n tokens, WINDOW for all longer ones.
+
+    The two for WINDOW, at all places of the item, leave a seed for any two substitutions in a window. A shorter item is
+    cut into blocks, two more than it has allowed substitutions, and a mask keeps two of them, at the item's start alone.
+    """
+    if n >= WINDOW:
+        return [(0, 1, 3, 6, 7), (0, 2, 3, 4, 7)]
+    blocks = n - math.ceil(SHARE * n - 1e-9) + 2
+    own = [tuple(i for i in range(n) if i * blocks // n == b) for b in range(blocks)]
+    return sorted({a + b for a, b in combinations(own, 2)})
+
+
+def _seeds(toks: Column, n: int, places: Column) -> Column:
+    """An array of (h, at) over all masks of n; a seed with a place outside the tokens is left out."""
 
-    def of(mask: tuple[int, ...]) -> Column:
-        return lambda i: F.struct(F.xxhash64(F.lit(MASKS.index(mask)), *(F.get(toks, i + m) for m in mask)).alias("h"), i.alias("at"))
+    def of(k: int, mask: tuple[int, ...]) -> Column:
+        inside = F.filter(places, lambda i: (i + mask[0] >= 0) & (i + mask[-1] < F.size(toks)))
+        return F.transform(inside, lambda i: F.struct(F.xxhash64(F.lit(n * 100 + k), *(F.get(toks, i + m) for m in mask)).alias("h"), i.alias("at")))
 
-    places = F.sequence(F.lit(0), last, F.lit(stride))
-    return F.when(F.size(toks) > 0, F.flatten(F.array(*(F.transform(places, of(m)) for m in MASKS))))
+    return F.flatten(F.array(*(of(k, m) for k, m in enumerate(masks_of(n)))))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, mark, item_id, shift): a seed of the item at i is a seed of the document at i + shift.
 
     Both sides meet by hash; the item side is reduced to distinct rows first. Whether it is broadcast is left to the
-    session's size threshold, so a benchmark of any size works.
+    session's size threshold, so a benchmark of any size works. Documents take the masks of those lengths that items have.
     """
-    left = docs.select("doc_id", "mark", F.explode(_seeds(F.col("toks"), STRIDE)).alias("s")).select("doc_id", "mark", F.col("s.h").alias("h"), F.col("s.at").alias("d_at"))
-    right = items.select("item_id", F.explode(_seeds(F.col("toks"), 1)).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.at").alias("i_at")).distinct()
+    toks, width = F.col("toks"), F.least(F.size("toks"), F.lit(WINDOW))
+    lengths = sorted(r[0] for r in items.where(F.size("toks") > 0).select(width.alias("n")).distinct().collect()) or [WINDOW]  # WINDOW rows at most
+    everywhere = F.sequence(F.lit(-WINDOW), F.size(toks))  # an item may lack its ends where a text begins or stops
+    left = docs.select("doc_id", "mark", F.explode(F.concat(*(_seeds(toks, n, everywhere) for n in lengths))).alias("s")).select("doc_id", "mark", F.col("s.h").alias("h"), F.col("s.at").alias("d_at"))
+    own = None
+    for n in lengths:
+        places = F.sequence(F.lit(0), F.size(toks)) if n == WINDOW else F.array(F.lit(0))
+        own = (F if own is None else own).when(width == n, _seeds(toks, n, places))
+    right = items.select("item_id", F.explode(own).alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.at").alias("i_at")).distinct()
     return left.join(right, "h").select("doc_id", "mark", "item_id", (F.col("d_at") - F.col("i_at")).alias("shift")).distinct()
 
 

@@ -152,6 +152,27 @@ def test_decontamination_finds_passages_and_spares_the_rest(spark):
     assert sum(bool(found[i]) for i in clean) == sum(any(overlap(by_id[i], t) >= decontaminate.SHARE for t in item_of.values()) for i in clean)
 
 
+def test_decontamination_finds_every_allowed_substitution_at_every_place(spark):
+    """Items of 1 to 14 tokens, all sets of allowed substitutions, at even and odd places, at the ends of a text too."""
+    from itertools import combinations
+
+    items, texts, want = [], [], {}
+    for n in range(1, 15):
+        own = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(own)))
+        k = min(n, 13) - math.ceil(0.8 * min(n, 13) - 1e-9)
+        for gone in combinations(range(n), k):
+            for before in (0, 4, 5):
+                want[len(texts)] = n
+                texts.append((len(texts), " ".join([f"a{i}" for i in range(before)] + ["zzz" if i in gone else w for i, w in enumerate(own)] + ["end"] * (before % 2))))
+        if k:  # the item without its first and its last tokens is the whole text
+            for part in (own[k:], own[: n - k]):
+                want[len(texts)] = n
+                texts.append((len(texts), " ".join(part)))
+    found = decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [texts[r["doc_id"]] for r in found if r["item_ids"] != [want[r["doc_id"]]]] == []
+
+
 def test_pieces_are_those_of_the_library():
     import sentencepiece
 
