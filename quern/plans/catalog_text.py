@@ -201,7 +201,7 @@ def _(t):
 @query("markdown_sections")
 def _(t):
     """Pages as Markdown: a heading from the URL's path, the HTML below."""
-    body = F.concat(F.lit("# "), F.regexp_extract("url", r"//([^/]+)", 1), F.lit("\n\nintro\n\n## "), F.regexp_extract("url", r"//[^/]+(/[^?#]*)", 1), F.lit("\n\n"), F.substring(F.coalesce("html", F.lit("")), 1, 200))
+    body = F.concat(F.lit("# "), F.regexp_extract("url", r"//([^/]+)", 1), F.lit("\n\nintro\n\n## "), F.regexp_extract("url", r"//[^/]+(/[^?#]*)", 1), F.lit("\n\n"), F.coalesce("html", F.lit("")))
     rows = t.pages.select(F.col("page_id").cast("string").alias("path"), F.lit("markdown").alias("language"), body.alias("text"))
     return files.sections(rows).select("path", "depth", "section_path", "heading", "line_start", "line_end")
 

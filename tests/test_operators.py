@@ -322,3 +322,12 @@ def test_ask(spark):
     assert plan(db, "why did we choose the cache").ways == ("text",)
     assert [r["id"] for r in ask(db, "what changed since yesterday in the cache").collect()][0] == "d1"
     assert {r["id"] for r in ask(db, "what depends on slow").collect()} == {"d1", "d2"}
+
+
+def test_markdown_sections_take_whole_pages(spark, tmp_path):
+    from quern.plans import catalog
+
+    html = "<p>one</p>\n" * 100 + "# Late heading\nlast"
+    spark.createDataFrame([(1, "http://a.org/x", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["heading"]: r for r in catalog.queries()["markdown_sections"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.org", "/x", "Late heading"} and got["Late heading"]["line_start"] == got["/x"]["line_end"] + 1 == 107
