@@ -14,10 +14,10 @@ from quern.llm.common import held_out, written
 #: A document whose language the model gives less than this probability is rejected, as is one without a letter.
 LEAST_SCORE = 0.5
 
-#: Near-duplicates: five-word shingles. Sketches of 512 bits estimate the similarity; at a Jaccard similarity of 0.8 texts
-#: are expected to differ in 77.6 bits, give or take 8.1, and of the first word's 64 in 9.7, give or take 2.9. Texts meet
-#: in 24 bands of 4 minima, of which at 0.8 one at least agrees but once in a million times.
-SHINGLE, RADIUS, WORDS, FULL, BANDS = 5, 18, 8, 94, (24, 4)
+#: Near-duplicates: five-word shingles with a Jaccard similarity of 0.8 or more, which is verified for each link. Texts
+#: meet in 24 bands of 4 minima, of which at 0.8 one at least agrees but once in a million times; limits on the bits of
+#: their sketches only spare comparisons: of 4 shingles and 5, 96 of 512 bits are expected to differ, and 12 of 64.
+SHINGLE, RADIUS, WORDS, FULL, BANDS, SIMILAR = 5, 32, 8, 150, (24, 4), 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal sketches, the one with the smallest doc_id stays."""
-    return simhash.keep_one(docs, simhash.near_groups(docs, SHINGLE, RADIUS, WORDS, FULL, distinct=True, bands=BANDS))
+    """Of documents linked by a similarity of 0.8, the one with the smallest doc_id stays."""
+    return simhash.keep_one(docs, simhash.near_groups(docs, SHINGLE, RADIUS, WORDS, FULL, distinct=True, bands=BANDS, least=SIMILAR))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

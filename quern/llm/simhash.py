@@ -126,9 +126,17 @@ def _roots(up: np.ndarray) -> np.ndarray:
         up = further
 
 
-def forest(words: np.ndarray, split: int, radius: int, full: int | None) -> np.ndarray:
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared by all of two sorted sets; 1 of two empty ones."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def forest(words: np.ndarray, split: int, radius: int, full: int | None, sets: list[np.ndarray] | None = None, least: float = 0.0) -> np.ndarray:
     """For each row of words (n x W), the row that stands for its component.
 
+    With sets, pairs within the limits are linked only where their sets have a Jaccard similarity of least or more.
+
     Rows up to split are compared with those after it, or all with all where split is 0.
     """
     n = len(words)
@@ -155,6 +163,12 @@ def forest(words: np.ndarray, split: int, radius: int, full: int | None) -> np.n
                 if full is not None and len(x):
                     keep = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int32) <= full
                     x, y = x[keep], y[keep]
+                if sets is not None:
+                    for u, v in zip(x.tolist(), y.tolist()):  # noqa: B905
+                        if label[u] != label[v] and jaccard(sets[u], sets[v]) >= least:
+                            p, q = sorted((label[u], label[v]))
+                            label[label == q] = p
+                    continue
                 while len(x):
                     p, q = label[x], label[y]
                     up = np.arange(n)
@@ -165,7 +179,7 @@ def forest(words: np.ndarray, split: int, radius: int, full: int | None) -> np.n
     return label
 
 
-def _linker(radius: int, full: int | None):
+def _linker(radius: int, full: int | None, least: float):
     def run(batches):
         """Rows come sorted by their pair of tiles; a pair's rows are at most two tiles."""
         held: list = []
@@ -175,7 +189,8 @@ def _linker(radius: int, full: int | None):
             ids = np.concatenate([np.array(r["ids"], np.int64) for r in held])
             words = np.concatenate([np.array(r["words"], np.int64).view(np.uint64).reshape(len(r["ids"]), -1) for r in held])
             split = 0 if len({r["side"] for r in held}) == 1 else sum(len(r["ids"]) for r in held if r["side"] == 0)
-            label = forest(words, split, radius, full)
+            sets = [np.array(x, np.int64) for r in held for x in r["sets"]] if held[0].get("sets") is not None else None
+            label = forest(words, split, radius, full, sets, least)
             own = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], schema=schema)
 
@@ -192,11 +207,25 @@ def _linker(radius: int, full: int | None):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, set (the sorted distinct shingle hashes of text) for rows (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = string_buffers(batch.column(1))
+            data = raw.tobytes()
+            own = [np.unique(shingle_hashes(data[a:b], shingle).view(np.int64)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]  # noqa: B905
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["id", "set"])
+
+    return docs.mapInArrow(run, "id long, set array<bigint>")
+
+
+def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: DataFrame | None = None, shingle: int = 3, least: float = 0.0) -> DataFrame:
     """Links (a, b) between nodes (id, sketch): a forest with the components of all pairs within the radius.
 
     full: what all words of the sketch may differ by, beside the first. Nodes with a column keys meet in the buckets
-    that these name. Only nodes that share a bucket take their sketches along.
+    that these name. Only nodes that share a bucket take their sketches along, and with docs (of a text for each node's
+    mark) their shingle sets: links then need a Jaccard similarity of least.
     """
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -209,6 +238,10 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFr
             sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             shared = written(keyed.join(sizes, "bucket"), "shared")
             rows = shared.join(nodes.select("id", "sketch"), "id")
+            if docs is not None:
+                wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("mark").alias("_mark"))
+                own = texts(docs).select(F.col("text"), text_mark().alias("_mark")).join(wanted, "_mark").groupBy("id").agg(F.first("text").alias("text"))
+                rows = rows.join(written(shingle_sets(own, shingle), "sets"), "id")
         else:
             cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
             keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
@@ -216,7 +249,7 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFr
             sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             rows = keyed.join(sizes, "bucket")
         rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-        tiles = rows.groupBy("bucket", "tile", "tiles").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"))
+        tiles = rows.groupBy("bucket", "tile", "tiles").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"), *([F.collect_list("set").alias("sets")] if "set" in rows.columns else []))
         first, last, at = F.lit(0).cast("long"), F.col("tiles") - 1, F.col("tile")
     else:
         rows = nodes.withColumn("pop", F.bit_count(fp))
@@ -235,23 +268,25 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None) -> DataFr
         first, last, at = F.col("lo"), F.col("hi"), F.col("tile")
     as_left = F.transform(F.sequence(at, last), lambda x: F.struct(F.struct(F.col("bucket"), at.alias("i"), x.alias("j")).alias("pair"), F.lit(0).alias("side")))
     as_right = F.when(at > first, F.transform(F.sequence(first, at - 1), lambda x: F.struct(F.struct(F.col("bucket"), x.alias("i"), at.alias("j")).alias("pair"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<pair:struct<bucket:bigint,i:bigint,j:bigint>,side:int>>"))
-    pairs = tiles.select(F.explode(F.concat(as_left, as_right)).alias("x"), "ids", "words").select(F.to_json("x.pair").alias("pair"), "x.side", "ids", "words")
+    more = ["sets"] if "sets" in tiles.columns else []
+    pairs = tiles.select(F.explode(F.concat(as_left, as_right)).alias("x"), "ids", "words", *more).select(F.to_json("x.pair").alias("pair"), "x.side", "ids", "words", *more)
     pairs = pairs.repartition(n, "pair").sortWithinPartitions("pair", "side")
-    return pairs.mapInArrow(_linker(radius, full), "a long, b long")
+    return pairs.mapInArrow(_linker(radius, full, least), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False, bands: tuple[int, int] | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False, bands: tuple[int, int] | None = None, least: float | None = None) -> DataFrame:
     """doc_id, mark, sketch, root, component_id (the smallest doc_id reachable over links, itself included) for each row of docs.
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id never is a component_id unless
-    all of the component are null; an empty table gives no rows. Equal sketches meet once before any comparison.
+    all of the component are null; an empty table gives no rows. Equal sketches meet once before any comparison. With
+    bands and least, links are those of a Jaccard similarity of the shingle sets of least or more.
     """
     own = written(sketches(docs, shingle, words, distinct, bands), "sketches")
     ident = F.col("sketch")[0] if words == 1 else F.xxhash64("sketch")
     own = own.withColumn("id", ident)
-    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("doc_id").alias("least"))
+    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("doc_id").alias("least"), F.first("mark").alias("mark"))
     nodes = written(nodes, "nodes")
-    roots = connected_components(near_links(nodes.select("id", "sketch", *(["keys"] if bands else [])), radius, full))
+    roots = connected_components(near_links(nodes.select("id", "sketch", "mark", *(["keys"] if bands else [])), radius, full, docs if bands and least is not None else None, shingle, least or 0.0))
     labelled = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     labelled = written(labelled, "labelled")
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

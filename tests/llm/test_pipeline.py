@@ -49,6 +49,27 @@ def test_near_copies_go_but_one(spark, folder):
     assert sorted(r["doc_id"] for r in stage("near_dedup")(spark, df, folder).collect()) == list(range(20))
 
 
+def test_near_copies_are_those_of_a_similarity_of_four_fifths(spark, folder):
+    """Pairs of 0.70 to 0.79 stay, those of 0.80 and more are linked, texts of 4 and 5 shingles too."""
+    rng, data, gone = random.Random(14), [], set()
+    for i in range(60):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(104)]  # 100 shingles
+        own = [*w]
+        if i % 3 == 0:  # three words apart: 85 of 115 shingles are shared, 0.739
+            for at in (10, 40, 70):
+                own[at] = f"other{i}"
+        elif i % 3 == 1:  # two words apart: 90 of 110 shingles are shared, 0.818
+            for at in (10, 40):
+                own[at] = f"other{i}"
+            gone.add(100 + i)
+        else:  # 4 shingles and 5: 0.8
+            w, own = w[:8], w[:9]
+            gone.add(100 + i)
+        data += [(i, " ".join(w)), (100 + i, " ".join(own))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in stage("near_dedup")(spark, df, folder).collect()} == {i for i, _ in data} - gone
+
+
 def test_rows_that_share_an_id_are_told_apart(spark, folder):
     rng = random.Random(13)
     a, b, c = (prose(rng, 100) for _ in range(3))
