@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, as in tests, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
