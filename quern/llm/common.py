@@ -7,7 +7,6 @@ The scanner works on the bytes of an Arrow string column. Words are maximal runs
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
+BATCH_BYTES = 4 << 20
+
 WS_RUN = r"[\x20\x09-\x0D]+"
 
 _WS = np.zeros(256, dtype=bool)
@@ -41,25 +44,24 @@ _POW = _powers(_P, _BLOCK + 1)
 _INV = _powers(_P_INV, _BLOCK + 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB at most, however long the texts are; a lower limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxlimitPerBatch"
+    if (limit := spark.conf.get(name, "")) and (not limit.rstrip("b").isdigit() or int(limit.rstrip("b")) > BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -67,12 +69,40 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, once all that was made from it is written too."""
+    for df in tables:
+        remove(df.sparkSession, df._quern_path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are written: it does so once their plans are collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of one key that go to one task at most, in joins that split.
+HOT = 5_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, *spread: str, how: str = "inner") -> DataFrame:
+    """left joined with right, a written table with one row for each key and in n the number of left's rows of it.
+
+    Keys with more rows than others deal them to several tasks, by the spread columns, and their row of right goes to
+    each. Only the keys whose rows exceed a quarter of a partition's even share are split, so there are at most four
+    times as many as partitions; that bounds the table that is broadcast.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, total = right.agg(F.max(n), F.sum(n)).first()
+    limit = max(HOT, (total or 0) // (4 * parts))
+    if (most or 0) <= limit:
+        return left.join(right.drop(n), keys, how)
+    hot = right.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_pieces"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*spread), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > limit, F.ceil(F.col(n) / limit).cast("int") - 1).otherwise(0))))
+    return dealt.join(copies.drop(n), [*keys, "_piece"], how).drop("_piece")
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text, null as empty."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
