@@ -1,11 +1,12 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax, beside add-one unigrams.
 
-P(word | context) = P(class | context) P(word | class). The most frequent words are classes of their own, others share
-a class by their last byte. The class factor is a maximum-entropy model over hashed features of the words before: the
-last word, the last two classes, and skip features of the second, third and fourth last. It is trained by distributed
-gradient updates: each task takes steps on its documents, and after a round the tasks' weights are averaged. In each
-round every token of every training document is in one step. The word factor is add-one smoothing over all training
-tokens of the class.
+P(word | context) = P(class | context) P(slot | class, context) P(word | slot). The most frequent words are classes of
+their own, others share a class by their last byte, and within such a class one of 32 slots by their hash. The first two
+factors are maximum-entropy models, a softmax over all classes and one over the slots of the class, with hashed features
+of the words before: the last word, the last two classes, and skip features of the second, third and fourth last. They
+are trained by distributed gradient updates: each task takes steps on its documents, and after a round the tasks'
+weights are averaged in a tree. Every token of every training document is in exactly one step, of the round that the
+document is dealt to. Within a slot words are told apart by add-one smoothing over its training tokens, without context.
 
 Counts are exact and never gathered in one place: words are counted within buckets of documents, summed by word, and
 go back to the buckets that hold the word; a bucket's own dictionary is all that a task keeps. Words are told apart by
@@ -18,24 +19,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out, mix, release, runs, slices, string_buffers, word_hashes, word_spans, written
+from .common import LOWER, bounded_batches, held_out, mix, release, runs, slices, string_buffers, word_hashes, word_spans, written
 
 TOP = 32
 SUFFIX = 16
+SLOTS = 32
 CLASSES = TOP + SUFFIX
+LEAVES = SUFFIX * SLOTS
 _START = CLASSES  # the class of what stands before a text
 _SIDE = CLASSES + 1
-_HASHED = 4096
-#: Weights by feature: last two classes, last word, second last word, third and fourth last classes, bias.
+_BITS = 12
+_HASHED = 1 << _BITS
+#: Weights of the class factor by feature: last two classes, last word, second last word, third and fourth last classes, bias.
 _OFFSETS = (0, _SIDE * _SIDE, _SIDE * _SIDE + _HASHED, _SIDE * _SIDE + 2 * _HASHED, 2 * _SIDE * _SIDE + 2 * _HASHED)
 ROWS = _OFFSETS[-1] + 1
+#: Weights of the slot factor by the class with: the last two classes, the last word, the second last word (hashed); alone.
+SLOT_ROWS = 3 * _HASHED + SUFFIX
 END = np.uint64(0x5EED0E4D00000000)
 ROUNDS = 2
 _PART = 512  # rows of weights that travel together
-_STEP = 4096
+_FAN = 32  # weights of so many tasks are averaged in one
+_FIRST_STEP, _STEP = 256, 4096  # tokens of a step: few at first, at most an eighth of those seen
+RATE = 0.5
 
 
 def token_ids(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +63,12 @@ def token_ids(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     top: np.ndarray  # hashes of the words that are classes, sorted
-    class_tokens: np.ndarray  # training tokens of each class
-    class_words: np.ndarray  # distinct training words of each class
+    top_tokens: np.ndarray  # training tokens of each
+    leaf_tokens: np.ndarray  # training tokens of each slot of each suffix, frequent words aside
+    leaf_words: np.ndarray  # distinct training words of each
     train_tokens: int
     distinct: int
-    weights: np.ndarray | None = None  # ROWS x CLASSES
+    state: list[np.ndarray] | None = None  # ROWS x CLASSES + 1 and SLOT_ROWS x SLOTS + 1: weights, and squares of gradients
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         found = (tokens & np.uint64(15)).astype(np.int64) + TOP
@@ -68,9 +78,25 @@ class LanguageModel:
             found[own] = i[own]
         return found
 
+    @staticmethod
+    def blank() -> list[np.ndarray]:
+        out = [np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros((SLOT_ROWS, SLOTS + 1), np.float32)]
+        for x in out:
+            x[:, -1] = 1e-3
+        return out
+
+
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(4)).astype(np.int64) & (SLOTS - 1)
+
 
-def features(tokens: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of weights for each token, n x 4; the bias comes beside."""
+def leaves(tokens: np.ndarray) -> np.ndarray:
+    """The suffix and the slot of a word, as one number."""
+    return (tokens & np.uint64(LEAVES - 1)).astype(np.int64)
+
+
+def features(tokens: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of weights for each token: 5 x n of the class factor; which tokens have a slot, and 4 x that of its factor."""
     n = len(tokens)
     place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
 
@@ -81,31 +107,49 @@ def features(tokens: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarr
         return out
 
     c = [before(cls, k, _START) for k in (1, 2, 3, 4)]
-    hashed = mix(tokens) >> np.uint64(52)
+    hashed = mix(tokens) >> np.uint64(64 - 2 * _BITS)  # two sets of bits: one for each factor
     h1, h2 = (before(hashed, k, np.uint64(0)).astype(np.int64) for k in (1, 2))
-    return np.stack([c[0] * _SIDE + c[1] + _OFFSETS[0], h1 + _OFFSETS[1], h2 + _OFFSETS[2], c[2] * _SIDE + c[3] + _OFFSETS[3]], axis=1)
+    two = c[0] * _SIDE + c[1]
+    own = np.stack([two, (h1 >> _BITS) + _OFFSETS[1], (h2 >> _BITS) + _OFFSETS[2], c[2] * _SIDE + c[3] + _OFFSETS[3], np.full(n, _OFFSETS[4])]).astype(np.uint16)
+    some = np.flatnonzero(cls >= TOP)
+    s, low = cls[some] - TOP, _HASHED - 1
+    slot = np.stack([(two[some] * SUFFIX + s) * 0x9E3779B1 >> 15 & low, ((h1[some] ^ s * 2654435761) & low) + _HASHED, ((h2[some] ^ s * 2654435761) & low) + 2 * _HASHED, s + 3 * _HASHED]).astype(np.uint16)
+    return own, some, slot
 
 
 def log_probabilities(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Natural log of the class probabilities."""
-    z = w[-1] + w[feats[:, 0]]
-    for k in range(1, feats.shape[1]):
-        z += w[feats[:, k]]
+    """Natural log of a factor's probabilities, n x the outcomes."""
+    z = w[feats[0]]
+    for at in feats[1:]:
+        z += w[at]
     z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def step(w: np.ndarray, g2: np.ndarray, feats: np.ndarray, cls: np.ndarray, rate: float = 0.3) -> None:
-    """One AdaGrad step on a block of tokens."""
-    p = np.exp(log_probabilities(w, feats))
-    p[np.arange(len(cls)), cls] -= 1
-    for at in (*feats.T, np.full(len(cls), ROWS - 1)):
-        order = np.argsort(at, kind="stable")
-        cut = runs(at[order])
-        rows = at[order][cut[:-1]]
-        g = np.add.reduceat(p[order], cut[:-1], axis=0) / np.sqrt(np.diff(cut))[:, None]
-        g2[rows] += g * g
-        w[rows] -= rate * g / np.sqrt(g2[rows])
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def step(w: np.ndarray, g2: np.ndarray, feats: np.ndarray, found: np.ndarray) -> None:
+    """One AdaGrad step on a block of tokens, with a rate for each row of weights."""
+    n = len(found)
+    p = w[feats[0]]
+    for at in feats[1:]:
+        p += w[at]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), found] -= 1
+    for at in feats:
+        if at[0] == at[-1] and not np.any(at != at[0]):  # the bias
+            rows, g = at[:1], p.sum(axis=0, keepdims=True) / np.float32(np.sqrt(n))
+        else:
+            order = np.argsort(at, kind="stable")
+            sorted_ = at[order]
+            cut = runs(sorted_)
+            rows = sorted_[cut[:-1]]
+            g = np.add.reduceat(p[order], cut[:-1], axis=0)
+            g /= np.sqrt(np.diff(cut)).astype(np.float32)[:, None]
+        g2[rows] += np.einsum("ij,ij->i", g, g) / np.float32(2)
+        g *= (RATE / np.sqrt(g2[rows]))[:, None]
+        w[rows] -= g
 
 
 def _bucket_counts(batches):
@@ -155,7 +199,7 @@ def _bucket_counts(batches):
 def _word_totals(batches):
     """Rows (h, bucket, c) by h: for each bucket its words with their totals.
 
-    Buckets below zero tell of all words: -1 the most frequent ones of a batch, -2 tokens and -3 distinct words by suffix.
+    Buckets below zero tell of all words: -1 the most frequent ones of a batch, -2 tokens and -3 distinct words by leaf.
     """
     names = ["bucket", "hs", "cs"]
 
@@ -170,9 +214,9 @@ def _word_totals(batches):
         yield pa.RecordBatch.from_arrays([pa.array(b[order][cut[:-1]], pa.int32()), pa.ListArray.from_arrays(where, pa.array(h[order])), pa.ListArray.from_arrays(where, pa.array(all_[order]))], names)
         best = np.argsort(-total, kind="stable")[:TOP]
         best = best[total[best] > 0]
-        suffix = word & 15
-        tokens, words = np.bincount(suffix, total, SUFFIX).astype(np.int64), np.bincount(suffix, total > 0, SUFFIX).astype(np.int64)
-        kinds = np.arange(SUFFIX)
+        leaf = leaves(word.view(np.uint64))
+        tokens, words = np.bincount(leaf, total, LEAVES).astype(np.int64), np.bincount(leaf, total > 0, LEAVES).astype(np.int64)
+        kinds = np.arange(LEAVES)
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3], pa.int32()), pa.array([word[best], kinds, kinds], pa.list_(pa.int64())), pa.array([total[best], tokens, words], pa.list_(pa.int64()))], names)
 
     open_: list = []
@@ -201,66 +245,83 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def model_of(words: DataFrame) -> LanguageModel:
-    """Class sizes and totals; what comes to the driver is TOP + 2 * SUFFIX rows."""
+    """Sizes of classes and slots; what comes to the driver is TOP + 2 * LEAVES rows."""
     pairs = words.where("bucket < 0").select("bucket", F.explode(F.arrays_zip("hs", "cs")).alias("x")).select("bucket", "x.hs", "x.cs")
     best = pairs.where("bucket = -1").orderBy(F.desc("cs"), "hs").limit(TOP).collect()
-    sums = {(r[0], r[1]): r[2] for r in pairs.where("bucket < -1").groupBy("bucket", "hs").agg(F.sum("cs")).collect()}
-    tokens = np.zeros(CLASSES)
-    distinct = np.zeros(CLASSES)
-    for k in range(SUFFIX):
-        tokens[TOP + k], distinct[TOP + k] = sums.get((-2, k), 0), sums.get((-3, k), 0)
+    tokens, distinct = np.zeros(LEAVES), np.zeros(LEAVES)
+    for r in pairs.where("bucket < -1").groupBy("bucket", "hs").agg(F.sum("cs")).collect():
+        (tokens if r[0] == -2 else distinct)[r[1]] = r[2]
     n, v = int(tokens.sum()), int(distinct.sum())
-    for r in best:
-        k = TOP + (r["hs"] & 15)
-        tokens[k], distinct[k] = tokens[k] - r["cs"], distinct[k] - 1
-    top = np.sort(np.array([r["hs"] for r in best], np.int64).view(np.uint64))
-    return LanguageModel(top, tokens, distinct, n, v)
+    found = sorted((np.uint64(r["hs"] % 2**64), r["cs"]) for r in best)
+    top, top_tokens = np.array([h for h, _ in found], np.uint64), np.array([c for _, c in found], np.float64)
+    np.subtract.at(tokens, leaves(top), top_tokens)
+    np.subtract.at(distinct, leaves(top), 1)
+    return LanguageModel(top, top_tokens, tokens, distinct, n, v)
 
 
 def _trainer(model: LanguageModel):
     def run(batches):
-        w = np.zeros((ROWS, CLASSES), np.float32) if model.weights is None else model.weights.copy()
-        g2, seen = np.full(w.shape, 1e-3, np.float32), 0
-        fs: list = []
-        cs: list = []
+        state = [x.copy() for x in model.state or model.blank()]
+        (w, g2), (w_slot, g2_slot) = ((np.ascontiguousarray(x[:, :-1]), x[:, -1].copy()) for x in state)
+        task, seen, size = TaskContext.get(), 0, _FIRST_STEP
+        held: list = []
+
+        def take(everything: bool):
+            """Steps over what is held; a rest under a step waits for the next texts, or for their end."""
+            nonlocal seen, size, held
+            feats, cls, slot_feats, where, slot = (np.concatenate(x, axis=-1) for x in zip(*held))  # noqa: B905
+            at = np.flatnonzero(where)
+            a = 0
+            while a < len(cls) and (everything or a + size <= len(cls)):
+                b = min(a + size, len(cls))
+                step(w, g2, feats[:, a:b], cls[a:b])
+                i, j = np.searchsorted(at, (a, b))
+                if j > i:
+                    step(w_slot, g2_slot, slot_feats[:, i:j], slot[i:j])
+                seen, a = seen + b - a, b
+                size = min(_STEP, max(_FIRST_STEP, seen // 8))
+            rest = np.searchsorted(at, a)
+            held = [(feats[:, a:], cls[a:], slot_feats[:, rest:], where[a:], slot[rest:])]
+
         for batch in batches:
             raw, at = string_buffers(batch.column(0))
-            for a, b in slices(at):
+            for a, b in slices(at, 1 << 20):
                 tokens, first = token_ids(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 cls = model.classes(tokens)
-                feats = features(tokens, cls, first)
-                fs.append(feats)
-                cs.append(cls)
-                if sum(map(len, cs)) >= _STEP:
-                    f, c = np.concatenate(fs), np.concatenate(cs)
-                    for i in range(0, len(c) - _STEP + 1, _STEP):
-                        step(w, g2, f[i : i + _STEP], c[i : i + _STEP])
-                        seen += _STEP
-                    done = len(c) // _STEP * _STEP
-                    fs, cs = [f[done:]], [c[done:]]
-        if cs and sum(map(len, cs)):
-            step(w, g2, np.concatenate(fs), np.concatenate(cs))
-            seen += sum(map(len, cs))
+                feats, some, slot_feats = features(tokens, cls, first)
+                held.append((feats, cls, slot_feats, cls >= TOP, slots(tokens[some])))
+                if sum(len(x[1]) for x in held) >= 4 * size:
+                    take(False)
+        if held and sum(len(x[1]) for x in held):
+            take(True)
         if seen:
-            for i in range(0, ROWS, _PART):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([w[i : i + _PART].tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "w", "seen"])
+            for kind, x in enumerate((np.column_stack([w, g2]), np.column_stack([w_slot, g2_slot]))):
+                for i in range(0, len(x), _PART):
+                    values = (kind, i, task.partitionId() if task else 0, x[i : i + _PART].tobytes(), seen)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _STATE_TYPES, strict=True)], _STATE_NAMES)
 
     return run
 
 
+_STATE = "kind int, part int, task int, w binary, seen long"
+_STATE_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+_STATE_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+
+
 def _average(batches):
-    """Rows (part, w, seen) by part: the mean weighted by tokens seen."""
+    """Rows by kind, part, task: for each the mean weighted by tokens seen."""
     now, total, seen = None, None, 0
 
     def give():
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["part", "w"])
+        values = (*now, (total / seen).astype(np.float32).tobytes(), seen)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _STATE_TYPES, strict=True)], _STATE_NAMES)
 
     for batch in batches:
-        for part, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if part != now:
+        for *key, w, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if key != now:
                 if now is not None:
                     yield give()
-                now, total, seen = part, 0.0, 0
+                now, total, seen = key, 0.0, 0
             total = total + np.frombuffer(w, np.float32).astype(np.float64) * n
             seen += n
     if now is not None:
@@ -268,43 +329,56 @@ def _average(batches):
 
 
 def train(rows: DataFrame, model: LanguageModel, rounds: int = ROUNDS) -> LanguageModel:
-    """Fits the class factor on the rows with learn; its weights are of a fixed size (ROWS x CLASSES)."""
+    """Fits both factors on the rows with learn; the weights are of a fixed size whatever the corpus.
+
+    The weights of the tasks meet in a tree: _FAN at most in one mean, then as many of these, until one is left. Each
+    level is a table, so a lost executor doesn't lose a round.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(rounds):
-        own = rows.where("learn").select("text").mapInArrow(_trainer(model), "part int, w binary, seen long")
-        mean = own.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_average, "part int, w binary").collect()
-        if not mean:
-            break
-        w = np.zeros((ROWS, CLASSES), np.float32)
-        for x in mean:
-            w[x["part"] : x["part"] + _PART] = np.frombuffer(x["w"], np.float32).reshape(-1, CLASSES)
-        model.weights = w
-    if model.weights is None:
-        model.weights = np.zeros((ROWS, CLASSES), np.float32)
+    for r in range(rounds):
+        own = rows.where("learn").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
+        means = written(own.mapInArrow(_trainer(model), _STATE), "weights")
+        while (last := means.agg(F.max("task")).first()[0]) is not None and last > 0:
+            grouped = means.withColumn("task", F.floor(F.col("task") / _FAN).cast("int")).repartition(n, "kind", "part", "task").sortWithinPartitions("kind", "part", "task")
+            means = written(grouped.mapInArrow(_average, _STATE), "weights")
+        state = model.state or model.blank()
+        for x in means.collect():  # the rows of one set of weights
+            own_ = state[x["kind"]][x["part"] : x["part"] + _PART]
+            own_[:] = np.frombuffer(x["w"], np.float32).reshape(own_.shape)
+        model.state = state
     return model
 
 
+def token_scores(model: LanguageModel, tokens: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 probability of each token, from the training counts of the tokens."""
+    cls, out = model.classes(tokens), np.zeros(len(tokens))
+    w, w_slot = (np.ascontiguousarray(x[:, :-1]) for x in model.state)
+    feats, some, slot_feats = features(tokens, cls, first)
+    slot, leaf = slots(tokens[some]), leaves(tokens[some])
+    for i in range(0, len(tokens), _STEP):
+        lp = log_probabilities(w, feats[:, i : i + _STEP])
+        out[i : i + _STEP] = lp[np.arange(len(lp)), cls[i : i + _STEP]]
+    for i in range(0, len(some), _STEP):
+        lp = log_probabilities(w_slot, slot_feats[:, i : i + _STEP])
+        out[some[i : i + _STEP]] += lp[np.arange(len(lp)), slot[i : i + _STEP]]
+    out /= np.log(10)
+    out[some] += np.log10((counts[some] + 1) / (model.leaf_tokens + model.leaf_words + 1)[leaf])
+    return out
+
+
 def _scorer(model: LanguageModel):
-    out_of = np.log10(model.class_tokens + model.class_words + 1)
     names = ["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"]
 
     def score(raw, at, words, counts):
-        for a, b in slices(at, 1 << 21):
+        for a, b in slices(at, 1 << 20):
             tokens, first = token_ids(raw[at[a] : at[b]], at[a : b + 1] - at[a])
             c = np.zeros(len(tokens))
             if len(words):
                 i = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
                 c = np.where(words[i] == tokens, counts[i], 0).astype(np.float64)
-            cls = model.classes(tokens)
-            feats = features(tokens, cls, first)
-            log_c = np.log10(c + 1)
-            value = np.where(cls < TOP, 0.0, log_c - out_of[cls])
-            for i in range(0, len(tokens), _STEP):
-                s = slice(i, i + _STEP)
-                lp = log_probabilities(model.weights, feats[s])
-                value[s] += lp[np.arange(len(lp)), cls[s]] / np.log(10)
+            value = token_scores(model, tokens, first, c)
             n = np.diff(first)
-            base = np.add.reduceat(log_c, first[:-1]) - n * np.log10(model.train_tokens + model.distinct + 1)
+            base = np.add.reduceat(np.log10(c + 1), first[:-1]) - n * np.log10(model.train_tokens + model.distinct + 1)
             yield n, np.add.reduceat((c > 0).astype(np.int64), first[:-1]), base, np.add.reduceat(value, first[:-1])
 
     def run(batches):
@@ -333,13 +407,10 @@ def _scorer(model: LanguageModel):
     return run
 
 
-def score_texts(docs: DataFrame, learn) -> DataFrame:
-    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) for each row.
-
-    Null and empty texts are the end token alone; a null doc_id is learned from as its empty text's crc32 says; rows
-    that repeat count as often as they are there; an empty table gives no rows.
-    """
+def fit(docs: DataFrame, learn) -> tuple[DataFrame, DataFrame, LanguageModel]:
+    """The rows by bucket, the counts of their words, and the model learned from the rows where learn holds."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", learn.alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
@@ -347,7 +418,13 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
     release(spark)
     model = train(rows, model_of(words))
     release(spark)
-    kind = docs.schema["doc_id"].dataType
+    return rows, words, model
+
+
+def score_rows(rows: DataFrame, words: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, base_score, score, train_tokens for each row."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema["doc_id"].dataType
     none = lambda t: F.lit(None).cast(t)
     left = words.where("bucket >= 0").select("bucket", F.lit(0).alias("kind"), none(kind).alias("doc_id"), none("boolean").alias("learn"), none("string").alias("text"), "hs", "cs")
     right = rows.select("bucket", F.lit(1).alias("kind"), "doc_id", "learn", "text", none("array<long>").alias("hs"), none("array<long>").alias("cs"))
@@ -356,6 +433,16 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
 
 
+def score_texts(docs: DataFrame, learn) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) for each row.
+
+    Null and empty texts are the end token alone; a null doc_id is learned from as its empty text's crc32 says; rows
+    that repeat count as often as they are there; an empty table gives no rows.
+    """
+    return score_rows(*fit(docs, learn))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a model of those whose crc32(doc_id) mod 7 is not 2; nulls, ties and empty tables as in score_texts."""
     scored = score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held_out(7, 2))
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
