@@ -1,12 +1,14 @@
-"""Substring deduplication: words of long passages that an earlier document already has are removed.
+"""Substring deduplication by seed and extend: words of long passages that an earlier document already has are removed.
 
-A passage is a window of 13 words. Documents are seeded with winnowed anchors: of each window's nine 5-word hashes the
-smallest one. Equal windows have equal anchors, so only windows whose anchor occurs in two documents can repeat, and
-no repeat is lost. Those windows extend the anchor to all 13 words by their own hash; a window that starts in a document with a smaller
-doc_id is a repeat, and overlapping ones join to maximal repeats.
+A passage is a window of 13 words. Documents are seeded with winnowed anchors: of each window's nine 5-word grams the one
+with the smallest hash, so equal windows have an equal anchor at an equal place. Documents are joined on anchors, and where
+two share one, each occurrence is extended by 8 words both ways, which covers every window around it. Occurrences with the
+same words on both sides are one group, represented by its first document; representatives of an anchor that differ are
+compared by the words of each extension of 13, and the longest extension that an earlier document has is kept. Extensions
+of neighbouring anchors overlap, and together are the maximal repeats of 13 words and more.
 
-Windows are compared by 64-bit hashes. Each step deals rows out by hash, sorted on disk, and goes through them as a
-stream, so an anchor or passage of any frequency takes bounded memory.
+Anchors are 64-bit hashes and only bring documents together; words are compared by 128 bits of SHA-256. Nothing holds a
+group in memory: groups are partial aggregates, and joins deal the rows of a frequent key to several tasks.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, release, runs, slices, string_buffers, word_hashes, word_spans, written
+from .common import bounded_batches, discard, mix, release, slices, split_join, string_buffers, word_hashes, word_spans, written
 
 WINDOW = 13
 ANCHOR = 5
+REACH = WINDOW - ANCHOR
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -33,117 +36,97 @@ def _gram(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def _windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows: value, place of the first word in the value, anchor; and all word hashes with where windows start."""
-    starts, ends, doc = word_spans(raw, at)
-    z = np.zeros(0, np.int64)
-    if len(starts) < WINDOW:
-        return z, z, z.view(np.uint64), z.view(np.uint64), z
-    w = word_hashes(raw, starts, ends)
-    least = _gram(w, ANCHOR)
-    n = len(w) - WINDOW + 1
-    two = np.minimum(least[:-1], least[1:])
+def anchors_of(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (among all words) and hashes of the anchors of all windows that lie in one value."""
+    n = len(starts) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gram = _gram(word_hashes(raw, starts, ends), ANCHOR)
+    two = np.minimum(gram[:-1], gram[1:])
     four = np.minimum(two[:-2], two[2:])
     eight = np.minimum(four[:-4], four[4:])
-    anchor = np.minimum(eight[:n], least[8 : 8 + n])
+    least = np.minimum(eight[:n], gram[REACH : REACH + n])
     i = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
-    first = np.searchsorted(doc, np.arange(len(at) - 1))
-    return doc[i], i - first[doc[i]], anchor[i], w, i
+    at = np.full(len(i), -1)
+    for k in range(REACH, -1, -1):  # the leftmost of equals stays
+        at[gram[i + k] == least[i]] = k
+    places = np.unique(i + at)
+    return places, gram[places]
 
 
-def _packed(ids: pa.Array, marks: np.ndarray, values: np.ndarray, kind: pa.DataType, name: str) -> pa.RecordBatch:
-    """A row for each document of the batch, with its values."""
-    doc = ids.to_numpy(zero_copy_only=False)
-    order = np.lexsort((marks, doc))
-    d, m, v = doc[order], marks[order], values[order]
-    cut = np.flatnonzero((d[1:] != d[:-1]) | (m[1:] != m[:-1])) + 1
-    at = np.concatenate(([0], cut, [len(d)])) if len(d) else np.zeros(1, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, kind))
-    return pa.RecordBatch.from_arrays([pa.array(d[at[:-1]], pa.int64()), pa.array(m[at[:-1]], pa.int32()), lists], ["doc_id", "mark", name])
-
-
-def _anchors(batches):
+def _seeds(batches):
+    """Each document's distinct anchors."""
     for batch in batches:
         raw, at = string_buffers(batch.column(2))
         for a, b in slices(at):
-            doc, _, anchor, _, _ = _windows(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-            order = np.lexsort((anchor, doc))
-            doc, anchor = doc[order], anchor[order]
+            own = raw[at[a] : at[b]]
+            starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
+            places, h = anchors_of(starts, ends, doc, own)
+            doc = doc[places]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
             take = pa.array(doc[new] + a)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["h", "doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["h", "doc_id", "mark"])
 
 
-def _shared(batches):
-    """Rows come by h, doc_id: gives those whose h occurs in two documents."""
-    held, known = None, None  # rows of the open run while it has one document; its h once it has two
-    for batch in batches:
-        h, d, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(h):
-            continue
-        if held is not None:
-            h, d, m = (np.concatenate(x) for x in zip(held, (h, d, m)))  # noqa: B905
-            held = None
-        at = runs(h)
-        two = (d[at[:-1]] != d[at[1:] - 1]) | ((h[at[:-1]] == known) if known is not None else False)
-        keep = np.repeat(two, np.diff(at))
-        if two[-1]:
-            known = h[-1]
-        else:
-            known, held = None, (h[at[-2] :], d[at[-2] :], m[at[-2] :])
-        yield _packed(pa.array(d[keep]), m[keep], h[keep], pa.int64(), "hs")
-
-
-def _candidates(batches):
-    """Windows of a document whose anchor is shared."""
+def _strings(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Pieces of raw, which may overlap, as a string column."""
+    where = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat(starts - where[:-1], sizes) + np.arange(where[-1])
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(where.astype(np.int32)), pa.py_buffer(raw[at]))
+
+
+def _extended(batches):
+    """Occurrences of shared anchors, for rows (doc_id, mark, text, hs): the words from 8 before an anchor to 8 after it.
+
+    before is the number of words before the anchor, n of all, start the first one's place in the text.
+    """
+    names = ["doc_id", "mark", "start", "before", "n", "words"]
     for batch in batches:
         raw, at = string_buffers(batch.column(2))
         lists = batch.column(3)
         where, shared = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        for a, b in slices(at):
-            doc, place, anchor, w, i = _windows(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-            if not len(doc):
-                continue
+        for a, b in slices(at, 1 << 20):
+            own = raw[at[a] : at[b]]
+            starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
+            places, h = anchors_of(starts, ends, doc, own)
             of = np.repeat(np.arange(b - a), np.diff(where[a : b + 1])).astype(np.uint64)
-            there = np.isin(mix(anchor + doc.astype(np.uint64) * _C), mix(shared[where[a] : where[b]] + of * _C))
-            h = _gram(w, WINDOW)[i[there]]
-            take = pa.array(doc[there] + a)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place[there].astype(np.int32))], ["h", "doc_id", "mark", "place"])
-
-
-def _repeats(batches):
-    """Rows come by h, doc_id: gives those whose h has a smaller doc_id."""
-    known = None
-    for batch in batches:
-        h, d, m, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(h):
-            continue
-        at = runs(h)
-        least = d[at[:-1]].copy()
-        if known is not None and known[0] == h[0]:
-            least[0] = known[1]
-        known = (h[-1], least[-1])
-        late = d > np.repeat(least, np.diff(at))
-        yield _packed(pa.array(d[late]), m[late], p[late], pa.int32(), "places")
+            there = np.isin(mix(h + doc[places].astype(np.uint64) * _C), mix(shared[where[a] : where[b]] + of * _C))
+            places = places[there]
+            if not len(places):
+                continue
+            sizes = ends - starts
+            to = np.cumsum(sizes + 1) - sizes - 1  # where each word stands when all are joined by one blank
+            joined = np.full(int(to[-1] + sizes[-1]), 32, np.uint8)
+            letters = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            joined[letters + np.repeat(to - starts, sizes)] = own[letters]
+            first, last = np.searchsorted(doc, doc[places]), np.searchsorted(doc, doc[places], "right")
+            lo, hi = np.maximum(first, places - REACH), np.minimum(last, places + ANCHOR + REACH)
+            take = pa.array(doc[places] + a)
+            for i in range(0, len(places), 20_000):
+                k = slice(i, i + 20_000)
+                words = _strings(joined, to[lo[k]], to[hi[k] - 1] + sizes[hi[k] - 1] - to[lo[k]])
+                ints = [pa.array(x.astype(np.int32)) for x in (lo[k] - first[k], places[k] - lo[k], hi[k] - lo[k])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take[k]), batch.column(1).take(take[k]), *ints, words], names)
 
 
 def _strip(batches):
-    """n_words, n_removed and the kept words for each row (doc_id, text, places, copy)."""
+    """n_words, n_removed and the kept words for each row (doc_id, text, spans, copy)."""
     for batch in batches:
         raw, at = string_buffers(batch.column(1))
         data, counts, removed, kept = raw.tobytes(), [], [], []
-        for a, b, places, copy in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2), batch.column(3).to_pylist()):  # noqa: B905
+        for a, b, spans, copy in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2), batch.column(3).to_pylist()):  # noqa: B905
             words = data[a:b].split()
             counts.append(len(words))
             if copy and len(words) >= WINDOW:
                 removed.append(len(words))
                 kept.append(b"")
-            elif places.is_valid and len(places):
-                p = places.values.to_numpy()
+            elif spans.is_valid and len(spans):
                 edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, p, 1)
-                np.add.at(edge, p + WINDOW, -1)
+                np.add.at(edge, spans.values.field(0).to_numpy(), 1)
+                np.add.at(edge, spans.values.field(1).to_numpy(), -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
@@ -156,13 +139,13 @@ def _strip(batches):
 def _dealt(docs: DataFrame) -> DataFrame:
     """doc_id, mark, same, text as a table bucketed by the first two: texts are dealt out once, and every later join finds them in place.
 
-    The mark is 0 but where rows share a doc_id; it tells those apart. same is a hash of the text.
+    The mark is 0 but where rows share a doc_id; it tells those apart. same and same_too are hashes of the text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("repeated")), "repeated")
-    marked = rows.join(repeated, "doc_id", "left").select("doc_id", F.when(F.col("repeated"), F.hash("text")).otherwise(0).alias("mark"), F.xxhash64("text").alias("same"), "text")
+    marked = rows.join(repeated, "doc_id", "left").select("doc_id", F.when(F.col("repeated"), F.hash("text")).otherwise(0).alias("mark"), F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("same_too"), "text")
     name = f"texts_{uuid.uuid4().hex}"
     marked.repartition(n, "doc_id", "mark").write.format("parquet").option("compression", "zstd").bucketBy(n, "doc_id", "mark").saveAsTable(name)
     release(spark)
@@ -171,21 +154,52 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
 def _later_copies(known: DataFrame) -> DataFrame:
     """doc_id, mark, copy of rows whose whole text a smaller doc_id has: their windows all are repeats, and make none that the first lacks."""
-    keys = known.select("doc_id", "mark", "same")
-    first = keys.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(keys.join(first, "same").where("doc_id > first").select("doc_id", "mark", F.lit(True).alias("copy")).distinct(), "copies")
-
-
-def _shared_anchors(known: DataFrame, n: int) -> DataFrame:
-    anchors = known.select("doc_id", "mark", "text").mapInArrow(_anchors, "h long, doc_id long, mark int").repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    return written(anchors.mapInArrow(_shared, "doc_id long, mark int, hs array<long>"), "anchors")
-
-
-def _late_windows(known: DataFrame, shared: DataFrame, n: int) -> DataFrame:
-    lists = shared.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("hs")).alias("hs"))
-    found = known.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_candidates, "h long, doc_id long, mark int, place int")
-    found = found.repartition(n, "h").sortWithinPartitions("h", "doc_id")
-    return written(found.mapInArrow(_repeats, "doc_id long, mark int, places array<int>"), "repeats")
+    keys = known.select("doc_id", "mark", "same", "same_too")
+    first = written(keys.groupBy("same", "same_too").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    later = split_join(keys, first, ["same", "same_too"], "n", "doc_id").where("doc_id > first")
+    copies = written(later.select("doc_id", "mark", F.lit(True).alias("copy")).distinct(), "copies")
+    discard(first)
+    return copies
+
+
+def _shared_seeds(known: DataFrame) -> DataFrame:
+    """doc_id, mark, hs: the anchors of each row that a row with another doc_id has too."""
+    seeds = written(known.select("doc_id", "mark", "text").mapInArrow(_seeds, "h long, doc_id long, mark int"), "seeds")
+    shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
+    shared = written(shared, "shared")
+    both = split_join(seeds, shared, ["h"], "n", "doc_id")
+    lists = written(both.groupBy("doc_id", "mark").agg(F.collect_list("h").alias("hs")), "anchors")
+    discard(seeds, shared)
+    return lists
+
+
+def _digest(words: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(words, 256)), 1, 16)
+
+
+def _repeats(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, mark, spans: stretches of words (start, end) around anchors that an earlier document has."""
+    found = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_extended, "doc_id long, mark int, start int, before int, n int, words string")
+    found = written(found.withColumn("key", _digest(F.concat_ws(" ", "before", "words"))), "extended")
+    release(known.sparkSession)
+    groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("words").alias("words")), "groups")
+    word = F.split("words", " ")
+    each = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(word, i, WINDOW)))
+    parts = groups.select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
+    parts = written(parts, "parts")
+    least = parts.groupBy("part").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("part", "least", "n")
+    least = written(least, "least")
+    late = split_join(parts, least, ["part"], "n", "key").where("least < first")
+    late = late.groupBy("key").agg(F.min("place").alias("lo"), (F.max("place") + WINDOW).alias("hi"))  # all parts hold the anchor, so late ones join
+    verdicts = written(groups.select("key", "first", "rows").join(late, "key", "left").where("rows > 1 OR lo IS NOT NULL"), "verdicts")
+    discard(groups, parts, least)
+    release(known.sparkSession)
+    own = split_join(found.select("doc_id", "mark", "start", "n", "key"), verdicts, ["key"], "rows", "doc_id", "start")
+    whole = F.col("doc_id") > F.col("first")
+    ends = own.where(whole | F.col("lo").isNotNull()).select("doc_id", "mark", F.struct((F.col("start") + F.when(whole, 0).otherwise(F.col("lo"))).alias("a"), (F.col("start") + F.when(whole, F.col("n")).otherwise(F.col("hi"))).alias("b")).alias("span"))
+    spans = written(ends.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")), "repeats")
+    discard(found, verdicts)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -193,24 +207,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null texts have no words; a null doc_id is neither smaller nor larger than any, so its words stay and remove
     none; rows that repeat a doc_id don't remove each other's words; an empty table gives no rows. Of equal texts only
-    those with the smallest doc_id are searched.
+    those with the smallest doc_id are searched. doc_id is a whole number.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounded_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _dealt(docs)
     copies = _later_copies(rows.where("doc_id IS NOT NULL"))
     known = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "mark"], "left_anti")
-    shared = _shared_anchors(known, n)
+    shared = _shared_seeds(known)
     release(spark)
-    late = _late_windows(known, shared, n)
+    spans = _repeats(known, shared)
+    discard(shared)
     release(spark)
-    places = late.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
-    both = rows.join(places, ["doc_id", "mark"], "left").join(copies, ["doc_id", "mark"], "left").select("doc_id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
+    both = rows.join(spans, ["doc_id", "mark"], "left").join(copies, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return both.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has; nulls, ties and repeated ids as in remove_repeats."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
