@@ -1,12 +1,13 @@
 """SimHash fingerprints and near-duplicate groups by tiled exact comparison.
 
-Fingerprints of a tile pair are compared all with all: numpy exclusive-or and bit counts, in blocks sorted by
-population count, and blocks whose counts differ beyond the radius are skipped. Small radii get their tiles inside
-buckets: of radius + 2 bit blocks, two fingerprints within the radius agree on at least two, so each pair of blocks
-is a bucket key and no link is lost. Larger radii get tiles over ranges of population counts, which is exact and grows
-with the square of the fingerprints; or, for wide sketches of whole corpora, tiles inside buckets of banded minima of
-the shingle hashes (`bands`), which texts of a similarity of 0.8 fail to share about once in a million pairs.
-A tile pair gives the links of a spanning forest, never all its pairs.
+Fingerprints are dealt to tiles by their population count, tile pairs whose counts differ beyond the radius are skipped,
+and those that are left are compared all with all: numpy exclusive-or and bit counts, in blocks sorted by population
+count, of which again those too far apart are skipped. Small radii get their tiles inside buckets: of radius + 2 bit
+blocks, two fingerprints within the radius agree on at least two, so each pair of blocks is a bucket key and no link is
+lost. Larger radii get tiles over ranges of population counts, which is exact and grows with the square of the
+fingerprints; or, for wide sketches of whole corpora, tiles inside buckets of banded minima of the shingle hashes
+(`bands`), which texts of a similarity of 0.8 fail to share about once in a million pairs. A bucket that one tile holds
+is one tile. A tile pair gives the links of a spanning forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, string_buffers, text_mark, texts, written
+from .common import bounded_batches, mix, split_join, string_buffers, text_mark, texts, written
 from .components import connected_components
 
 SEED = 42
 TILE = 4096
 WIDE_TILE = 16_384
+SET_ITEMS = 1 << 20  # items of shingle sets that a tile holds
 _PIECE = 1 << 20
 
 
@@ -114,6 +116,7 @@ def sketches(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "sketch", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
     rows = texts(docs).select("doc_id", text_mark().alias("mark"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, mark bigint, sketch array<bigint>, keys array<bigint>")
 
@@ -220,6 +223,33 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
 
+def _bucket_tiles(rows: DataFrame, radius: int) -> DataFrame:
+    """Tiles (bucket, tile, partners, ids, words, sets) of rows (id, sketch, bucket, set, items), the last the set's size.
+
+    A bucket of TILE rows and SET_ITEMS items of sets at most is one tile. Others have tiles for each population count p,
+    numbered from p << 32; the partners of a tile are those of counts within the radius, itself included.
+    """
+    sets = "set" in rows.columns
+    gathered = (F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"), *([F.collect_list("set").alias("sets")] if sets else []))
+    pop = F.bit_count(F.col("sketch")[0]).cast("long")
+    items = F.sum("items") if sets else F.lit(0)
+    rows = rows.withColumn("pop", pop)
+    by_pop = rows.groupBy("bucket", "pop").agg(F.count(F.lit(1)).alias("rows"), items.alias("items"))
+    split = F.greatest(F.ceil(F.col("rows") / TILE), F.ceil(F.col("items") / SET_ITEMS))
+    whole = (F.sum("rows") <= TILE) & (F.sum("items") <= SET_ITEMS)
+    large = by_pop.groupBy("bucket").agg(whole.alias("whole"), F.collect_list(F.struct("pop", split.alias("split"))).alias("pops")).where("NOT whole").drop("whole")
+    large = written(large, "large")  # 65 entries a row at most
+    if not large.take(1):
+        return rows.groupBy("bucket").agg(*gathered).select("bucket", F.lit(0).cast("long").alias("tile"), F.array(F.lit(0).cast("long")).alias("partners"), "ids", "words", *(["sets"] if sets else []))
+    rows = rows.join(large, "bucket", "left")
+    own = F.filter("pops", lambda x: x["pop"] == F.col("pop"))[0]["split"]
+    tile = F.when(F.col("pops").isNull(), F.lit(0)).otherwise(F.shiftleft("pop", 32) + F.pmod(F.xxhash64("id"), own)).cast("long")
+    tiles = rows.withColumn("tile", tile).groupBy("bucket", "tile").agg(*gathered)
+    near = F.filter("pops", lambda x: F.abs(x["pop"] - F.shiftright("tile", 32)) <= radius)
+    numbers = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["split"] - 1), lambda k: F.shiftleft(x["pop"], 32) + k)))
+    return tiles.join(large, "bucket", "left").withColumn("partners", F.coalesce(numbers, F.array("tile"))).drop("pops")
+
+
 def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: DataFrame | None = None, shingle: int = 3, least: float = 0.0) -> DataFrame:
     """Links (a, b) between nodes (id, sketch): a forest with the components of all pairs within the radius.
 
@@ -241,16 +271,14 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: Dat
             if docs is not None:
                 wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("mark").alias("_mark"))
                 own = texts(docs).select(F.col("text"), text_mark().alias("_mark")).join(wanted, "_mark").groupBy("id").agg(F.first("text").alias("text"))
-                rows = rows.join(written(shingle_sets(own, shingle), "sets"), "id")
+                rows = rows.join(written(shingle_sets(own, shingle).withColumn("items", F.size("set")), "sets"), "id")
         else:
             cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
             keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
             keyed = nodes.select("id", "sketch", F.explode(keys).alias("bucket"))
             sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             rows = keyed.join(sizes, "bucket")
-        rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-        tiles = rows.groupBy("bucket", "tile", "tiles").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"), *([F.collect_list("set").alias("sets")] if "set" in rows.columns else []))
-        first, last, at = F.lit(0).cast("long"), F.col("tiles") - 1, F.col("tile")
+        tiles = _bucket_tiles(rows, radius)
     else:
         rows = nodes.withColumn("pop", F.bit_count(fp))
         sizes = {r[0]: r[1] for r in rows.groupBy("pop").count().collect()}  # at most 65 rows
@@ -265,11 +293,11 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: Dat
         pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for p in where for x in (p, where[p][k]))), F.col("pop")) if where else F.lit(0)
         rows = rows.select("id", "sketch", (pick(1) + F.pmod(F.xxhash64("id"), pick(0))).cast("long").alias("tile"), pick(2).cast("long").alias("lo"), pick(3).cast("long").alias("hi"))
         tiles = rows.groupBy("tile", "lo", "hi").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words")).withColumn("bucket", F.lit(0).cast("long"))
-        first, last, at = F.col("lo"), F.col("hi"), F.col("tile")
-    as_left = F.transform(F.sequence(at, last), lambda x: F.struct(F.struct(F.col("bucket"), at.alias("i"), x.alias("j")).alias("pair"), F.lit(0).alias("side")))
-    as_right = F.when(at > first, F.transform(F.sequence(first, at - 1), lambda x: F.struct(F.struct(F.col("bucket"), x.alias("i"), at.alias("j")).alias("pair"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<pair:struct<bucket:bigint,i:bigint,j:bigint>,side:int>>"))
+        tiles = tiles.withColumn("partners", F.sequence("lo", "hi"))
+    pair = lambda i, j, side: F.struct(F.struct(F.col("bucket"), i.alias("i"), j.alias("j")).alias("pair"), F.lit(side).alias("side"))
+    of = F.transform("partners", lambda x: F.when(x >= F.col("tile"), pair(F.col("tile"), x, 0)).otherwise(pair(x, F.col("tile"), 1)))
     more = ["sets"] if "sets" in tiles.columns else []
-    pairs = tiles.select(F.explode(F.concat(as_left, as_right)).alias("x"), "ids", "words", *more).select(F.to_json("x.pair").alias("pair"), "x.side", "ids", "words", *more)
+    pairs = tiles.select(F.explode(of).alias("x"), "ids", "words", *more).select(F.to_json("x.pair").alias("pair"), "x.side", "ids", "words", *more)
     pairs = pairs.repartition(n, "pair").sortWithinPartitions("pair", "side")
     return pairs.mapInArrow(_linker(radius, full, least), "a long, b long")
 
@@ -284,14 +312,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int =
     own = written(sketches(docs, shingle, words, distinct, bands), "sketches")
     ident = F.col("sketch")[0] if words == 1 else F.xxhash64("sketch")
     own = own.withColumn("id", ident)
-    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("doc_id").alias("least"), F.first("mark").alias("mark"))
+    nodes = own.groupBy("id").agg(F.first("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("doc_id").alias("least"), F.first("mark").alias("mark"), F.count(F.lit(1)).alias("rows"))
     nodes = written(nodes, "nodes")
     roots = connected_components(near_links(nodes.select("id", "sketch", "mark", *(["keys"] if bands else [])), radius, full, docs if bands and least is not None else None, shingle, least or 0.0))
-    labelled = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    labelled = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", "rows", F.coalesce("root", "id").alias("root"))
     labelled = written(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = labelled.join(least, "root").select("id", "root", "component_id")
-    return own.join(found, "id").select("doc_id", "mark", "sketch", "root", "component_id")
+    least = written(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    found = written(split_join(labelled, least, ["root"], "n", "id").select("id", "root", "component_id", "rows"), "found")
+    return split_join(own, found, ["id"], "rows", "doc_id").select("doc_id", "mark", "sketch", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -309,5 +337,6 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document at a radius of 2 bits; nulls, empties and ties as in near_groups."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex(F.col("sketch")[0])), 16, "0").alias("fingerprint"), "component_id")
