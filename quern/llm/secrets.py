@@ -1,20 +1,25 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
-From each rule's regex follows a Boolean query over trigrams that every match must contain. The index holds, for the
-trigrams that the rules' queries name, which documents have them (lower-cased); intersecting postings gives the
-candidates of each rule, and only those are searched with the regex. Rules without a mandatory trigram search all.
+From each rule's regex follows a Boolean query over trigrams that every match must contain. The index is a table of
+postings, for each trigram that a rule's query names and each block of documents the documents that have it
+(lower-cased); intersecting and uniting postings block by block gives the candidates of each rule, and only those are
+searched with the regex. Rules without a mandatory trigram search all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as sre
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
+
+
+BLOCK = 8_192
 
 
 @dataclass(frozen=True)
@@ -100,7 +105,7 @@ def trigram_query(regex: str, most: int = 64) -> list[frozenset[frozenset[str]]]
 
 
 class TrigramIndex:
-    """Postings (trigram, doc_id) over the trigrams that the rules' queries name."""
+    """Postings (trigram, block, docs) over the trigrams that the rules' queries name; a block has BLOCK rows at most."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
@@ -109,33 +114,22 @@ class TrigramIndex:
         self.number = {t: i for i, t in enumerate(self.vocabulary)}
 
     def postings(self, docs: DataFrame) -> DataFrame:
-        low = docs.select("doc_id", F.lower("text").alias("low")).where(F.col("low").isNotNull())
+        low = docs.select("doc_id", F.lower("text").alias("low"), F.floor(F.monotonically_increasing_id() / BLOCK).alias("block")).where(F.col("low").isNotNull())
         there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for t, i in self.number.items())))
-        return low.select("doc_id", F.explode(there).alias("trigram"))
+        rows = low.select("doc_id", "block", F.explode(there).alias("trigram"))
+        return rows.groupBy("trigram", "block").agg(F.sort_array(F.collect_set(F.struct("doc_id"))).alias("docs"))
 
     def candidates(self, postings: DataFrame) -> DataFrame:
         """doc_id and, for each rule with a query, whether the intersected postings hold it; documents of no rule are left out."""
-        words = range(len(self.vocabulary) // 62 + 1)
-        masks = [F.coalesce(F.bit_or(F.when(F.floor(F.col("trigram") / 62) == w, F.expr("shiftleft(1L, trigram % 62)"))), F.lit(0).cast("long")).alias(f"m{w}") for w in words]
-        sets = postings.groupBy("doc_id").agg(*masks)
-
-        def all_of(trigrams: frozenset[str]) -> Column:
-            need = [0 for _ in words]
-            for t in trigrams:
-                need[self.number[t] // 62] |= 1 << self.number[t] % 62
-            tests = [F.col(f"m{w}").bitwiseAND(F.lit(n).cast("long")) == F.lit(n).cast("long") for w, n in enumerate(need) if n]
-            return _fold(tests, "and")
-
-        holds = {k: _fold([_fold([all_of(s) for s in sorted(c, key=sorted)], "or") for c in q], "and") for k, q in self.queries.items() if q}
-        out = sets.select("doc_id", *(c.alias(f"has_{k}") for k, c in holds.items()))
-        return out.where(_fold([F.col(f"has_{k}") for k in holds], "or"))
-
-
-def _fold(parts: list[Column], how: str) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if how == "and" else out | p
-    return out
+        empty = F.array().cast(postings.schema["docs"].dataType)
+        lists = postings.groupBy("block").agg(*(F.coalesce(F.max(F.when(F.col("trigram") == i, F.col("docs"))), empty).alias(f"t{i}") for i in self.number.values()))
+        every = lambda s: reduce(F.array_intersect, (F.col(f"t{self.number[t]}") for t in sorted(s)))
+        some = lambda c: reduce(F.array_union, map(every, sorted(c, key=sorted)))
+        both = {k: reduce(F.array_intersect, map(some, q)) for k, q in self.queries.items() if q}
+        tagged = lambda kind: lambda d: F.struct(d["doc_id"].alias("doc_id"), F.lit(kind).alias("kind"))
+        each = F.flatten(F.array(*(F.transform(docs, tagged(k)) for k, docs in both.items())))
+        found = lists.select(F.explode(each).alias("x")).groupBy("x.doc_id")
+        return found.agg(*(F.bool_or(F.col("x.kind") == k).alias(f"has_{k}") for k in both))
 
 
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
@@ -155,20 +149,37 @@ def spans(text: Column, rule: Rule, ord_: int) -> Column:
         lengths(F.split(text, regex, -1)).alias("pieces"),
         lengths(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group))).alias("counted"),
     )
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
 
     def of(m: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = total(F.slice(m["pieces"], F.lit(1), i + 1)) + total(F.slice(m["hits"], F.lit(1), i))
-            return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + F.get(m["hits"], i)).alias("end"), F.lit(rule.kind).alias("kind"))
+        def placed(before: Column) -> Column:
+            def one(i: Column) -> Column:
+                start = F.get(before["pieces"], i + 1) + F.get(before["hits"], i)
+                return F.struct(start.alias("start"), F.lit(ord_).alias("ord"), (start + F.get(m["hits"], i)).alias("end"), F.lit(rule.kind).alias("kind"))
 
-        # places are added up for the matches that stay alone: a text may have many that don't
-        stay = F.filter(F.sequence(F.lit(0), F.size(m["hits"]) - 1), lambda i: F.get(m["counted"], i) >= rule.least)
-        return F.when(F.size(m["hits"]) > 0, F.transform(stay, one)).otherwise(F.array().cast(_SPAN))
+            stay = F.filter(F.sequence(F.lit(0), F.size(m["hits"]) - 1), lambda i: F.get(m["counted"], i) >= rule.least)
+            return F.transform(stay, one)
+
+        sums = F.struct(running(m["hits"]).alias("hits"), running(m["pieces"]).alias("pieces"))
+        return F.when(F.size(m["hits"]) > 0, _let(sums, placed)).otherwise(F.array().cast(_SPAN))
 
     return _let(sizes, of)
 
 
+def running(xs: Column, block: int = 256) -> Column:
+    """For a non-empty array its sums up to each place, starting with 0: sums within blocks, then what stands before each block."""
+    sums = lambda ys: F.aggregate(ys, F.array(F.lit(0)), lambda acc, y: F.array_append(acc, F.element_at(acc, -1) + y))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: sums(F.slice(xs, b * block + 1, block)))
+
+    def whole(blocks: Column) -> Column:
+        def moved(before: Column) -> Column:
+            parts = F.transform(blocks, lambda ys, i: F.transform(F.slice(ys, 1, F.size(ys) - 1), lambda y: y + F.get(before, i)))
+            return F.concat(F.flatten(parts), F.array(F.element_at(before, -1)))
+
+        return _let(sums(F.transform(blocks, lambda ys: F.element_at(ys, -1))), moved)
+
+    return _let(cut, whole)
+
+
 #: Fixed characters before the run that ends these rules' regexes. A match is one run of characters, so asking for the
 #: least length in the regex finds the very matches that stay: what is too short holds no other match.
 _RUNS = {"access": 4, "hex": 0}
@@ -185,11 +196,13 @@ def find_secrets(docs: DataFrame, index: TrigramIndex | None = None) -> DataFram
     Null texts count as empty; rows that repeat a doc_id are each searched in their own text; a null doc_id is a key
     like any other; an empty table gives no rows. The index only narrows where a regex runs, never what it finds.
 
-    The candidates are written first, so that their size is known: few are broadcast under the session's threshold and
+    The postings are written, then the candidates, so that their size is known: few are broadcast under the session's threshold and
     no text moves, many are joined by sort-merge.
     """
     index = index or TrigramIndex()
-    cand = written(index.candidates(index.postings(docs)).withColumnRenamed("doc_id", "c_id"), "candidates")
+    postings = written(index.postings(docs), "postings")
+    cand = written(index.candidates(postings).withColumnRenamed("doc_id", "c_id"), "candidates")
+    discard(postings)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(cand, rows.doc_id.eqNullSafe(cand.c_id), "left")
     text, none = F.col("text"), F.array().cast(_SPAN)
@@ -207,6 +220,7 @@ def joined(found: Column) -> Column:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text, those of the base rules counted and digested; nulls and ties as in find_secrets."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["ord"] < len(BASE))
