@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_mark, written
+from .common import discard, text_mark, written
 
 #: Equal tokens that a window of so many aligned tokens needs (an item of fewer tokens is one window).
 WINDOW = 13
@@ -80,37 +80,46 @@ def _overlap(doc: Column, item: Column, shift: Column) -> Column:
     return F.array_max(windows) / width
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, mark, item_ids (sorted, of items found in the text), overlap (the best share, 0 to 1) for each row of docs.
-
-    An item is found where a window of 13 of its tokens, or all of a shorter item, agrees with the text in at least
-    0.8 of the places. Null and empty texts hold nothing; items without a token are never found; rows that share a
-    doc_id, or have none, are told apart by their texts; with no items nothing is found.
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """l_id, l_mark (of the text), item_ids and overlap of the rows of docs in which an item is found: a written table.
 
-    Hits and leaks are written first, so that their size is known: few are broadcast under the session's threshold and
-    no text moves, many are joined by sort-merge.
+    Hits are written first too, so that sizes are known: few are broadcast under the session's threshold and no text
+    moves, many are joined by sort-merge.
     """
-    same = lambda side: F.col("doc_id").eqNullSafe(F.col(f"{side}_id")) & (F.col("mark") == F.col(f"{side}_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("mark") == F.col("h_mark"))
     rows = docs.select("doc_id", "text", text_mark().alias("mark"))
     own = rows.select("doc_id", "mark", tokens(F.col("text")).alias("toks"))
     items = benchmark.select("item_id", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
     lists = hits(own, items).groupBy(F.col("doc_id").alias("h_id"), F.col("mark").alias("h_mark")).agg(F.collect_list(F.struct("item_id", "shift")).alias("hits"))
     lists = written(lists, "hits")
-    texts = rows.join(lists, same("h")).select("h_id", "h_mark", tokens(F.col("text")).alias("toks"), F.explode("hits").alias("hit"))
+    texts = rows.join(lists, same).select("h_id", "h_mark", tokens(F.col("text")).alias("toks"), F.explode("hits").alias("hit"))
     checked = texts.join(items.withColumnRenamed("toks", "item"), F.col("hit.item_id").eqNullSafe(F.col("item_id"))).withColumn("overlap", _overlap(F.col("toks"), F.col("item"), F.col("hit.shift")))
-    leaks = checked.where(F.col("overlap") >= SHARE).groupBy(F.col("h_id").alias("l_id"), F.col("h_mark").alias("l_mark")).agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(NO_ID)))).alias("item_ids"), F.max("overlap").alias("overlap"))
-    leaks = written(leaks, "leaks")
-    out = rows.select("doc_id", "mark").join(leaks, same("l"), "left")
-    return out.select("doc_id", "mark", F.coalesce("item_ids", F.array().cast(leaks.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    found = checked.where(F.col("overlap") >= SHARE).groupBy(F.col("h_id").alias("l_id"), F.col("h_mark").alias("l_mark")).agg(F.sort_array(F.collect_set(F.coalesce("item_id", F.lit(NO_ID)))).alias("item_ids"), F.max("overlap").alias("overlap"))
+    found = written(found, "leaks")
+    discard(lists)
+    return found
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, mark, item_ids (sorted, of items found in the text), overlap (the best share, 0 to 1) for each row of docs.
+
+    An item is found where a window of 13 of its tokens, or all of a shorter item, agrees with the text in at least
+    0.8 of the places. Null and empty texts hold nothing; items without a token are never found; rows that share a
+    doc_id, or have none, are told apart by their texts; with no items nothing is found.
+    """
+    found = leaks(docs, benchmark)
+    out = docs.select("doc_id", text_mark().alias("mark")).join(found, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("mark") == F.col("l_mark")), "left")
+    return out.select("doc_id", "mark", F.coalesce("item_ids", F.array().cast(found.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    leaked = find_leaks(docs, benchmark).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("_quern_id"), F.col("mark").alias("_quern_of")).distinct()
+    leaked = leaks(docs, benchmark).select(F.col("l_id").alias("_quern_id"), F.col("l_mark").alias("_quern_of"))
     own = docs.withColumn("_quern_mark", text_mark())
     return own.join(leaked, F.col("doc_id").eqNullSafe(F.col("_quern_id")) & (F.col("_quern_mark") == F.col("_quern_of")), "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds; nulls, short items and repeated ids as in find_leaks."""
     found = find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
