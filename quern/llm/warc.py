@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import bounded_batches, fresh_path
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -223,11 +223,16 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page through an archive and back; digests are those of the payloads read, which must be the ones written."""
+    """Every page through an archive and back. Null html is an empty payload; of equal payloads that of the largest page_id is the response.
+
+    Digests are those of the payloads read; one that isn't what was written, or a page with a part missing, is an error.
+    """
     path = fresh_path(spark, "warc")
+    bounded_batches(spark)
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     back = reassemble(read_parts(spark, path))
-    digest = F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.sha1("payload"))
+    broken = F.raise_error(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" didn't come back as it was written"))).cast("string")
+    digest = F.when(F.col("record_type") == "revisit", F.col("digest")).when(F.col("whole") & (F.sha1("payload") == F.col("digest")), F.col("digest")).otherwise(broken)
     return back.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
