@@ -14,15 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import bounded_batches, held_out, written
 
 BITS = 14
 DIM = 1 << BITS
 #: Rows of each language that the weights and the temperature are fitted on, at most.
 PER_CLASS = 800
 OVER = 4
+LANGUAGES = 4_096
 UNDECIDED = "und"
-_CHUNK = 1 << 21  # characters that are counted at once, about
+_CHUNK = 1 << 19  # characters that are counted at once, about
 
 _LETTER: np.ndarray | None = None
 _LOG = np.log1p(np.arange(1 << 16)).astype(np.float32)
@@ -165,10 +166,12 @@ def _picked(rows: DataFrame, per_class: int) -> DataFrame:
     """lang, at, n of the rows of each language with the smallest hashes, per_class at most; rows that repeat count once.
 
     Only rows under a hash that leaves about OVER times as many as are wanted are ranked, so no task gets a language's
-    rows. What is broadcast has one row a language, as the model has one column a language.
+    rows. What is broadcast has one row a language, LANGUAGES at most, as the model has one column a language.
     """
     h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    if (found := sizes.count()) > LANGUAGES:
+        raise ValueError(f"{found} languages; a model has {LANGUAGES} at most")
     few = rows.select("lang", h.alias("h")).join(F.broadcast(sizes), "lang").where(F.col("h") / 2.0**63 * F.col("rows") <= OVER * per_class).groupBy("lang", "h").agg(F.lit(1).alias("one"))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_class)
     last = written(ranked.groupBy("lang").agg(F.max("h").alias("last")), "last")
@@ -179,6 +182,7 @@ def _picked(rows: DataFrame, per_class: int) -> DataFrame:
 
 def train(docs: DataFrame, learn: Column, per_class: int = PER_CLASS) -> LanguageModel | None:
     """A model from the rows where learn holds and lang isn't null; None where there are none."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     sums = rows.select("text").mapInArrow(_frequencies, "place int, df long").groupBy("place").agg(F.sum("df").alias("df"))
     found = {r[0]: r[1] for r in sums.collect()}  # DIM + 1 rows
@@ -218,12 +222,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, *keep: str) -> DataFr
                     pred[first + i], score[first + i] = model.classes[best[i]], p[i, best[i]]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out; nulls, ties and empty texts as in train and identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, ~held_out(5, 0))
     return identify(docs, model, "doc_id").withColumn("held_out", held_out(5, 0)).select("doc_id", "held_out", "lang_pred", "score")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, held_out, slices, string_buffers, word_hashes, word_spans
+from .common import bounded_batches, held_out, LOWER, slices, string_buffers, word_hashes, word_spans
 
 BITS = 13
 DIM = 1 << BITS
@@ -161,6 +161,8 @@ def score(docs: DataFrame, machine: FactorisationMachine | None) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels of those not held out; nulls, ties and empty texts as in train and score."""
+    bounded_batches(spark)
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, train(docs, labels, ~held_out(5, 0)))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
