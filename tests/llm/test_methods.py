@@ -45,7 +45,7 @@ def components_of(fps, radius):
 
 
 def test_simhash_by_brute_force(spark, docs, write_tables):
-    data = [r for r in rows() if r[0] not in (160, 161)]
+    data = rows()
     fps = [fingerprint(r[1]) for r in data]
     group = components_of(fps, 2)
     least = {}
@@ -53,7 +53,7 @@ def test_simhash_by_brute_force(spark, docs, write_tables):
         if r[0] is not None:
             least[g] = min(least.get(g, r[0]), r[0])
     want = sorted(str((r[0], f"{f:016x}", least.get(g))) for r, f, g in zip(data, fps, group, strict=True))
-    folder = write_tables(documents=docs.where("doc_id IS NULL OR doc_id NOT IN (160, 161)"))
+    folder = write_tables(documents=docs)
     assert sorted(str(tuple(r)) for r in simhash.op2_simhash(spark, folder).select("doc_id", "fingerprint", "component_id").collect()) == want
 
 
@@ -79,6 +79,38 @@ def test_links_by_brute_force(spark, monkeypatch, radius, tile):
     assert all(got.get(s, s) == want[g] for s, g in zip(signed, group, strict=True))
 
 
+def test_tiles_of_far_population_counts_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    rng = random.Random(35)
+    rows_ = [(i, [(1 << rng.randrange(0, 40)) - 1], i % 3) for i in range(200)] + [(1000, [3], 7), (1001, [1], 7)]
+    tiles = simhash._bucket_tiles(spark.createDataFrame(rows_, "id long, sketch array<long>, bucket long"), 2).collect()
+    assert sum(len(t["ids"]) for t in tiles) == len(rows_)
+    pop = {i: sketch[0].bit_count() for i, sketch, _ in rows_}
+    by_tile = {(t["bucket"], t["tile"]): t["ids"] for t in tiles}
+    met = set()
+    for t in tiles:
+        if t["bucket"] == 7:
+            assert t["partners"] == [t["tile"]] and len(t["ids"]) == 2
+            continue
+        assert len({pop[i] for i in t["ids"]}) == 1
+        for x in t["partners"]:
+            other = by_tile.get((t["bucket"], x), [])
+            assert all(abs(pop[i] - pop[j]) <= 2 for i in t["ids"] for j in other)
+            met |= {(i, j) for i in t["ids"] for j in other}
+    assert all((i, j) in met for i, _, a in rows_ for j, _, b in rows_ if a == b != 7 and abs(pop[i] - pop[j]) <= 2)
+
+
+def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    import quern.llm.common as common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.createDataFrame([(i % 3 if i < 60 else 99, i) for i in range(400)], "k long, x long")
+    right = common.written(left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("least")), "right")
+    both = common.split_join(left, right, ["k"], "n", "x")
+    assert "_piece" in both._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, both.collect())) == sorted((k, x, 60 if k == 99 else k) for k, x in map(tuple, left.collect()))
+
+
 def test_shingles_of_long_texts_in_pieces(monkeypatch):
     text = prose(random.Random(2), 5000).encode()
     whole = simhash.shingle_hashes(text, 3)
@@ -98,6 +130,39 @@ def test_secrets_by_brute_force(spark, write_tables):
         assert [tuple(x) for x in r["found"]] == sorted(want)
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    """Places are running sums: a hundred thousand matches in one text."""
+    text = " ".join(f"token=abcdef{i}" for i in range(100_000))
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("found"), F.col("found")[77_777]).first()
+    want = next(m for i, m in enumerate(re.finditer(secrets.BASE[0].regex, text)) if i == 77_777)
+    assert found[0] == 100_000 and (found[1]["start"], found[1]["end"]) == want.span()
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 17])
+def test_running_sums(spark, n):
+    xs = [3 * i + 1 for i in range(n)]
+    got = spark.createDataFrame([(xs,)], "xs array<int>").select(secrets.running(F.col("xs"), 4)).first()[0]
+    assert got == [sum(xs[:i]) for i in range(n + 1)]
+
+
+def test_postings_are_intersected(spark, monkeypatch, docs):
+    """The stored lists name the documents that have a trigram; the candidates are those whose trigrams satisfy a rule's query."""
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    texts = ["my PassWord", "pass", "word", "ghp_", "api key", "apikey", "api_key", "akia", "AKIA77", "secre token"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = secrets.TrigramIndex()
+    postings = index.postings(df)
+    lists = {}
+    for r in postings.collect():
+        assert 1 <= len(r["docs"]) <= 3
+        lists.setdefault(index.vocabulary[r["trigram"]], set()).update(d["doc_id"] for d in r["docs"])
+    assert all(lists.get(t, set()) == {i for i, x in enumerate(texts) if t in x.lower()} for t in index.vocabulary)
+    got = {r["doc_id"]: {k for k in index.queries if index.queries[k] and r[f"has_{k}"]} for r in index.candidates(postings).collect()}
+    for i, x in enumerate(texts):
+        want = {k for k, q in index.queries.items() if q and all(any(all(t in x.lower() for t in option) for option in clause) for clause in q)}
+        assert got.get(i, set()) == want
+
+
 def test_trigrams_are_mandatory():
     """No match of a rule lacks the trigrams that its query names."""
     samples = {"assign": ["PassWord = abcdef", "api_key:'123456'", "apikey=......"], "access": ["AKIA" + "A" * 16], "github": ["gho_" + "x" * 36], "pem": ["-----BEGIN PRIVATE KEY-----"], "google": ["AIza" + "b" * 35]}
@@ -191,16 +256,67 @@ def test_unigram_paths_are_the_shortest():
     """A made-up unigram model beside all ways to cut a short text."""
     m = pieces.PieceModel(["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "aba"], [0, -3, -2, -2.5, -3.2, -3.1, -4, -4.5], [2, 1, 1, 1, 1, 1, 1, 1])
     t = pieces.PieceTransducer(m)
+    weight = lambda p: float(-t.score[p] if p in t.score else -t.unknown_score)
 
     def best(s):
         if not s:
             return 0.0
-        return min([best(s[n:]) - t.score[s[:n]] for n in range(1, min(3, len(s)) + 1) if s[:n] in t.score] + ([best(s[1:]) + t.unknown_cost] if s[0] not in t.score else []))
+        return min([best(s[n:]) + weight(s[:n]) for n in range(1, min(3, len(s)) + 1) if s[:n] in t.score] + ([best(s[1:]) + weight(s[0])] if s[0] not in t.score else []))
 
     for s in ("ab", "abab", "aabba", "bbab", "axb"):
         part = t.normalise(s)
         path = t.shortest_path(part)
-        assert "".join(path) == part and math.isclose(sum(-t.score[p] if p in t.score else t.unknown_cost for p in path), best(part))
+        assert "".join(path) == part and math.isclose(sum(map(weight, path)), best(part), rel_tol=1e-6)
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    """A field of a protocol-buffer message."""
+    import struct
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize(("fallback", "mapped"), [(False, False), (True, False), (False, True), (True, True)])
+def test_unigram_encoding_is_that_of_the_library(fallback, mapped):
+    """A unigram model put together by hand, with the library's own character map, and with byte fallback."""
+    import sentencepiece
+
+    rng = random.Random(17)
+    known = sorted({"▁", *"abcdeé1", *("".join(rng.choice("abcdeé▁1"[: 7 if i else 8]) for i in range(rng.randrange(2, 6))) for _ in range(150))})
+    own = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256 if fallback else 0)), *((p, -rng.uniform(2, 12), 1) for p in known)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, float(score)) + field(3, kind)) for p, score, kind in own)
+    rules = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc" if mapped else "identity").serialized_model_proto()))[3]
+    data += field(2, field(3, 1) + field(35, int(fallback))) + field(3, field(1, b"own") + field(2, dict(pieces._fields(rules)).get(2, b"")) + field(3, 1) + field(4, 1) + field(5, 1))
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    t = pieces.transducer(data)
+    letters = "aaabbbcccdddeeeé1 \t\nxyＡ①½ﬁ\u200b漢😀e\u0301A"
+    for _ in range(400):
+        s = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 40)))
+        assert t.encode(s).tolist() == sp.encode(s), s
+        assert t.decode(t.encode(s)) == sp.decode(sp.encode(s)), s
+
+
+def test_paths_in_bounded_memory(monkeypatch):
+    data = open(pieces.MODEL, "rb").read()  # noqa: SIM115
+    monkeypatch.setattr(pieces, "_KEPT_BYTES", 20_000)
+    monkeypatch.setattr(pieces, "_KEPT_PAIRS", 50)
+    small, large = pieces.PieceTransducer(pieces.PieceModel.parse(data)), pieces.transducer(data)
+    rng = random.Random(18)
+    for _ in range(20):
+        s = prose(rng, 200)
+        assert small.encode(s).tolist() == large.encode(s).tolist()
+        assert len(small.paths) + len(small.elder) <= 110 and sum(map(len, small.pairs.values())) <= 50
 
 
 def test_base_scores_by_brute_force(docs):
@@ -232,28 +348,90 @@ def test_model_beats_unigrams_on_text_it_has_not_seen(spark):
     assert got[0] > 0.75 * got[1]  # log-probabilities: nearer to zero is better
 
 
-def test_training_takes_every_token_of_every_text():
-    """Texts of equal length and first word, but another middle, give other weights; each token is in one step of a round."""
+def weights_of(model, texts):
     import pyarrow as pa
 
+    got = [r for b in lm._trainer(model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]) for r in b.to_pylist()]
+    return {r["seen"] for r in got}, b"".join(r["w"] for r in got)
+
+
+def test_training_takes_every_token_of_every_text():
+    """Texts of equal length and first word, but another middle, give other weights; each token is in one step."""
     rng = random.Random(31)
     one = prose(rng, 20_000).split()
     other = one[:9_000] + ["zebra"] * 500 + one[9_500:]
-    model = lm.LanguageModel(np.sort(lm.token_ids(np.frombuffer(b"the of zebra", np.uint8), np.array([0, 12]))[0][:3]), np.ones(lm.CLASSES), np.ones(lm.CLASSES), 1, 1)
+    top = np.sort(lm.token_ids(np.frombuffer(b"the of zebra", np.uint8), np.array([0, 12]))[0][:3])
+    model = lm.LanguageModel(top, np.ones(3), np.ones(lm.LEAVES), np.ones(lm.LEAVES), 1, 1)
     weights = []
     for ws in (one, other):
-        texts = [" ".join(ws), "", "a few words", " "]
-        got = [b.to_pylist() for b in lm._trainer(model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])]
-        assert {r["seen"] for part in got for r in part} == {20_000 + 1 + 1 + 3 + 1 + 1}
-        weights.append(b"".join(r["w"] for part in got for r in part))
+        seen, w = weights_of(model, [" ".join(ws), "", "a few words", " "])
+        assert seen == {20_000 + 1 + 1 + 3 + 1 + 1}
+        weights.append(w)
     assert weights[0] != weights[1]
 
 
-def test_class_probabilities_sum_to_one():
+def test_every_training_document_is_in_one_round(spark, monkeypatch):
+    """The tokens seen in all rounds, by the tasks' own count, are those of the training rows; means meet in a tree."""
+    made = []
+    keep = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: made.append(keep(df, name)) or made[-1])
+    monkeypatch.setattr(lm, "_FAN", 2)
+    rng = random.Random(33)
+    df = spark.createDataFrame([(i, prose(rng, rng.randrange(0, 60))) for i in range(200)], "doc_id long, text string").repartition(7)
+    rows, _, model = lm.fit(df, F.col("doc_id") % 3 != 0)
+    tokens = sum(len(words_of(r["text"])) + 1 for r in rows.where("learn").collect())
+    assert tokens == model.train_tokens
+    weights = [x for x in made if "task" in x.columns]
+    first = [x.where("kind = 0 AND part = 0") for x in weights]
+    sizes = [x.count() for x in first]
+    assert max(sizes) > 2 and sizes.count(1) == lm.ROUNDS and all(b <= a / 2 + 1 or a == 1 for a, b in zip(sizes, sizes[1:], strict=False))
+    assert sum(x.agg(F.sum("seen")).first()[0] for x, n in zip(first, sizes, strict=True) if n == 1) == tokens
+
+
+def test_scores_by_brute_force(spark):
+    """The score of each text, word by word, from the weights and counts that were learned."""
+    rng = random.Random(34)
+    data = [(i, prose(rng, rng.randrange(0, 40))) for i in range(120)] + [(120, None), (121, " ")]
+    rows, words, model = lm.fit(spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") % 4 != 0)
+    w, w_slot = (x[:, :-1].astype(float) for x in model.state)
+    ident = lambda ws: [*(int(lm.token_ids(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0]) for x in ws), int(lm.END)]
+    counts = Counter(t for i, text in data if i % 4 for t in ident(words_of(text)))
+    top = [int(t) for t in model.top]
+    assert sorted(counts.values())[-len(top) :] == sorted(counts[t] for t in top)
+    cls = lambda t: top.index(t) if t in top else lm.TOP + (t & 15)
+    leaf = lambda t: t & (lm.LEAVES - 1)
+    rest = [t for t in counts if t not in top]
+
+    def softmax(z, k):
+        return z[k] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+
+    def score(text):
+        total, before = 0.0, []
+        for t in ident(words_of(text)):
+            c = [cls(before[-k]) if len(before) >= k else lm.CLASSES for k in (1, 2, 3, 4)]
+            h = [int(lm.mix(np.array([before[-k]], np.uint64))[0]) >> 40 if len(before) >= k else 0 for k in (1, 2)]
+            two, side, low = c[0] * 49 + c[1], 49 * 49, 4095
+            at = [two, side + (h[0] >> 12), side + 4096 + (h[1] >> 12), side + 8192 + c[2] * 49 + c[3], -1]
+            total += softmax(sum(w[i] for i in at), cls(t)) / math.log(10)
+            if t not in top:
+                s = t & 15
+                at = [(two * 16 + s) * 0x9E3779B1 >> 15 & low, 4096 + ((h[0] ^ s * 2654435761) & low), 8192 + ((h[1] ^ s * 2654435761) & low), 3 * 4096 + s]
+                total += softmax(sum(w_slot[i] for i in at), t >> 4 & 31) / math.log(10)
+                own = [x for x in rest if leaf(x) == leaf(t)]
+                total += math.log10((counts[t] + 1) / (sum(counts[x] for x in own) + len(own) + 1))
+            before.append(t)
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in lm.score_rows(rows, words, model).collect()}
+    assert len(got) == len(data) and all(math.isclose(got[i], score(text), abs_tol=1e-3) for i, text in data)
+
+
+def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    w = rng.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    feats = np.stack([rng.integers(0, lm.ROWS, 50) for _ in range(4)], axis=1)
-    assert np.allclose(np.exp(lm.log_probabilities(w, feats)).sum(axis=1), 1, atol=1e-5)
+    for n, k in ((lm.ROWS, lm.CLASSES), (lm.SLOT_ROWS, lm.SLOTS)):
+        w = rng.normal(size=(n, k)).astype(np.float32)
+        feats = np.stack([rng.integers(0, n, 50) for _ in range(4)])
+        assert np.allclose(np.exp(lm.log_probabilities(w, feats)).sum(axis=1), 1, atol=1e-5)
 
 
 def test_word_hashes_tell_words_apart(monkeypatch):
