@@ -21,7 +21,10 @@ SHINGLE, RADIUS, WORDS, FULL, BANDS, SIMILAR = 5, 32, 8, 150, (24, 4), 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents' own lang (four fifths of them) and keeps documents of a recognised language."""
+    """Learns from the documents' own lang (four fifths of them) and keeps documents of a recognised language.
+
+    Null and empty texts, and texts without a letter, are rejected; rows that repeat are judged each, and alike.
+    """
     model = language.train(docs, ~held_out(5, 0))
     plain = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
     renamed = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
@@ -31,25 +34,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal up to white space, the one with the smallest doc_id stays."""
+    """Of documents equal up to white space, the one with the smallest doc_id stays; a null doc_id loses to any other.
+
+    Null texts equal empty ones; of rows that repeat the doc_id that stays, one stays.
+    """
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8, the one with the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8, the one with the smallest doc_id stays; a null doc_id loses to any other.
+
+    Texts without a word are alike; of rows that repeat doc_id and text, one stays.
+    """
     return simhash.keep_one(docs, simhash.near_groups(docs, SHINGLE, RADIUS, WORDS, FULL, distinct=True, bands=BANDS, least=SIMILAR))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; null and empty texts, and all with an empty benchmark, stay."""
     return decontaminate.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole text, and the text that they decode to."""
+    """Token ids of the whole text, and the text that they decode to; null and empty texts have no tokens."""
     plain = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
-    done = pieces.encode_decode(renamed, pieces.MODEL, *plain)
+    done = pieces.encode_decode(docs.toDF(*plain), pieces.MODEL, *plain, text=plain[docs.columns.index("text")])
     return done.select(*(F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)), "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded")
 
 
