@@ -25,8 +25,7 @@ from .components import connected_components
 
 SEED = 42
 TILE = 4096
-WIDE_TILE = 16_384
-SET_ITEMS = 1 << 20  # items of shingle sets that a tile holds
+SET_ITEMS = 4 << 20  # items of shingle sets that a tile holds
 _PIECE = 1 << 20
 
 
@@ -144,6 +143,9 @@ def forest(words: np.ndarray, split: int, radius: int, full: int | None, sets: l
     """
     n = len(words)
     label = np.arange(n)
+    if n == 2:
+        near = int(words[0, 0] ^ words[1, 0]).bit_count() <= radius and (full is None or int(np.bitwise_count(words[0] ^ words[1]).sum(dtype=np.int32)) <= full)
+        return np.zeros(2, np.int64) if near and (sets is None or jaccard(*sets) >= least) else label
     sides = [(np.arange(n), np.arange(n))] if not split else [(np.arange(split), np.arange(split, n))]
     pop = np.bitwise_count(words[:, 0]).astype(np.int16)
     for left, right in sides:
@@ -182,29 +184,37 @@ def forest(words: np.ndarray, split: int, radius: int, full: int | None, sets: l
     return label
 
 
-def _linker(radius: int, full: int | None, least: float):
+def _linker(radius: int, full: int | None, least: float, with_sets: bool):
     def run(batches):
-        """Rows come sorted by their pair of tiles; a pair's rows are at most two tiles."""
-        held: list = []
+        """Rows (bucket, i, j, side, id, sketch, set) come sorted by the first four; a pair's rows are about two tiles."""
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, held = None, []
 
         def close():
-            ids = np.concatenate([np.array(r["ids"], np.int64) for r in held])
-            words = np.concatenate([np.array(r["words"], np.int64).view(np.uint64).reshape(len(r["ids"]), -1) for r in held])
-            split = 0 if len({r["side"] for r in held}) == 1 else sum(len(r["ids"]) for r in held if r["side"] == 0)
-            sets = [np.array(x, np.int64) for r in held for x in r["sets"]] if held[0].get("sets") is not None else None
+            ids, words, side = (np.concatenate([h[k] for h in held]) for k in range(3))
+            split = 0 if side[0] == side[-1] else int(np.searchsorted(side, 1))
+            sets = [x for h in held for x in h[3]] if with_sets else None
             label = forest(words, split, radius, full, sets, least)
             own = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], schema=schema)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["pair"] != row["pair"]:
-                    if sum(len(r["ids"]) for r in held) > 1:
+            if not batch.num_rows:
+                continue
+            key = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            side, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            words = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+            if with_sets:
+                items, where = batch.column(6).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(batch.column(6).value_lengths().to_numpy(zero_copy_only=False))))
+            cut = [0, *(np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist(), len(ids)]
+            for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
+                if now is not None and not np.array_equal(key[a], now):
+                    if sum(len(h[0]) for h in held) > 1:
                         yield close()
                     held = []
-                held.append(row)
-        if held and sum(len(r["ids"]) for r in held) > 1:
+                now = key[a]
+                held.append((ids[a:b], words[a:b], side[a:b], [items[where[k] : where[k + 1]].copy() for k in range(a, b)] if with_sets else None))
+        if sum(len(h[0]) for h in held) > 1:
             yield close()
 
     return run
@@ -223,31 +233,36 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, set array<bigint>")
 
 
-def _bucket_tiles(rows: DataFrame, radius: int) -> DataFrame:
-    """Tiles (bucket, tile, partners, ids, words, sets) of rows (id, sketch, bucket, set, items), the last the set's size.
+def _shared_buckets(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed (id, bucket, ...) in buckets of two ids or more; of buckets with the same ids, one."""
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("n > 1")
+    one = written(sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    return split_join(keyed, one, ["bucket"], "n", "id")
 
-    A bucket of TILE rows and SET_ITEMS items of sets at most is one tile. Others have tiles for each population count p,
-    numbered from p << 32; the partners of a tile are those of counts within the radius, itself included.
+
+def _tile_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """bucket, i, j, side and the columns of rows (id, sketch, bucket, items): each row in all tile pairs of its bucket that are compared.
+
+    A bucket of up to TILE rows, and SET_ITEMS items of their sets, is one tile. A larger one is dealt to as many tiles
+    as it fills, in the order of the population counts; one count may fill several. The partners of a tile are the tiles
+    of counts within the radius of its own.
     """
-    sets = "set" in rows.columns
-    gathered = (F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words"), *([F.collect_list("set").alias("sets")] if sets else []))
-    pop = F.bit_count(F.col("sketch")[0]).cast("long")
-    items = F.sum("items") if sets else F.lit(0)
-    rows = rows.withColumn("pop", pop)
-    by_pop = rows.groupBy("bucket", "pop").agg(F.count(F.lit(1)).alias("rows"), items.alias("items"))
-    split = F.greatest(F.ceil(F.col("rows") / TILE), F.ceil(F.col("items") / SET_ITEMS))
-    whole = (F.sum("rows") <= TILE) & (F.sum("items") <= SET_ITEMS)
-    large = by_pop.groupBy("bucket").agg(whole.alias("whole"), F.collect_list(F.struct("pop", split.alias("split"))).alias("pops")).where("NOT whole").drop("whole")
-    large = written(large, "large")  # 65 entries a row at most
+    rows = rows.withColumn("pop", F.bit_count(F.col("sketch")[0]).cast("long"))
+    sizes = rows.groupBy("bucket", "pop").agg(F.greatest(F.count(F.lit(1)) / TILE, F.sum("items") / SET_ITEMS).alias("fill"))
+    pops = sizes.groupBy("bucket").agg(F.sum("fill").alias("fill"), F.array_sort(F.collect_list(F.struct("pop", "fill"))).alias("pops")).where("fill > 1")  # 65 entries a row at most
+    before = lambda i: F.aggregate(F.slice("pops", 1, i), F.lit(0.0), lambda acc, x: acc + x["fill"])
+    spread = lambda x, lo: F.struct(x["pop"].alias("pop"), F.floor(lo).alias("lo"), F.greatest(F.floor(lo), F.ceil(lo + x["fill"]) - 1).alias("hi"))
+    large = written(pops.select("bucket", F.transform("pops", lambda x, i: spread(x, before(i))).alias("pops")), "large")
+    zero = F.lit(0).cast("long")
     if not large.take(1):
-        return rows.groupBy("bucket").agg(*gathered).select("bucket", F.lit(0).cast("long").alias("tile"), F.array(F.lit(0).cast("long")).alias("partners"), "ids", "words", *(["sets"] if sets else []))
-    rows = rows.join(large, "bucket", "left")
-    own = F.filter("pops", lambda x: x["pop"] == F.col("pop"))[0]["split"]
-    tile = F.when(F.col("pops").isNull(), F.lit(0)).otherwise(F.shiftleft("pop", 32) + F.pmod(F.xxhash64("id"), own)).cast("long")
-    tiles = rows.withColumn("tile", tile).groupBy("bucket", "tile").agg(*gathered)
-    near = F.filter("pops", lambda x: F.abs(x["pop"] - F.shiftright("tile", 32)) <= radius)
-    numbers = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["split"] - 1), lambda k: F.shiftleft(x["pop"], 32) + k)))
-    return tiles.join(large, "bucket", "left").withColumn("partners", F.coalesce(numbers, F.array("tile"))).drop("pops")
+        return rows.drop("pop").withColumns({"i": zero, "j": zero, "side": F.lit(0)})
+    own = F.filter("pops", lambda x: x["pop"] == F.col("pop"))[0]
+    rows = rows.join(large, "bucket", "left").withColumn("tile", F.coalesce(own["lo"] + F.pmod(F.xxhash64("id"), own["hi"] - own["lo"] + 1), zero))
+    mine = F.filter("pops", lambda x: (x["lo"] <= F.col("tile")) & (x["hi"] >= F.col("tile")))
+    near = F.filter("pops", lambda x: (x["pop"] >= F.array_min(F.transform(mine, lambda m: m["pop"])) - radius) & (x["pop"] <= F.array_max(F.transform(mine, lambda m: m["pop"])) + radius))
+    partners = F.sequence(F.array_min(F.transform(near, lambda x: x["lo"])), F.array_max(F.transform(near, lambda x: x["hi"])))
+    rows = rows.withColumn("partner", F.explode(F.coalesce(partners, F.array("tile"))))
+    return rows.withColumns({"i": F.least("tile", "partner"), "j": F.greatest("tile", "partner"), "side": (F.col("tile") > F.col("partner")).cast("int")}).drop("pop", "pops", "tile", "partner")
 
 
 def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: DataFrame | None = None, shingle: int = 3, least: float = 0.0) -> DataFrame:
@@ -257,49 +272,28 @@ def near_links(nodes: DataFrame, radius: int, full: int | None = None, docs: Dat
     that these name. Only nodes that share a bucket take their sketches along, and with docs (of a text for each node's
     mark) their shingle sets: links then need a Jaccard similarity of least.
     """
-    spark = nodes.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fp = F.col("sketch")[0]
-    if radius <= 2 or "keys" in nodes.columns:
+    if "keys" in nodes.columns:
+        shared = written(_shared_buckets(nodes.select("id", F.explode("keys").alias("bucket"))), "shared")
+        rows = shared.join(nodes.select("id", "sketch"), "id")
+        if docs is not None:
+            wanted = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("mark").alias("_mark")), "wanted")
+            own = texts(docs).select(F.col("text"), text_mark().alias("_mark")).join(wanted, "_mark").groupBy("id").agg(F.first("text").alias("text"))
+            rows = rows.join(written(shingle_sets(own, shingle).withColumn("items", F.size("set")), "sets"), "id")
+    elif radius <= 2:
         blocks = radius + 2
         width = 64 // blocks
-        if "keys" in nodes.columns:
-            keyed = nodes.select("id", F.explode("keys").alias("bucket"))
-            sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            shared = written(keyed.join(sizes, "bucket"), "shared")
-            rows = shared.join(nodes.select("id", "sketch"), "id")
-            if docs is not None:
-                wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("mark").alias("_mark"))
-                own = texts(docs).select(F.col("text"), text_mark().alias("_mark")).join(wanted, "_mark").groupBy("id").agg(F.first("text").alias("text"))
-                rows = rows.join(written(shingle_sets(own, shingle).withColumn("items", F.size("set")), "sets"), "id")
-        else:
-            cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
-            keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
-            keyed = nodes.select("id", "sketch", F.explode(keys).alias("bucket"))
-            sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            rows = keyed.join(sizes, "bucket")
-        tiles = _bucket_tiles(rows, radius)
+        cut = [F.shiftrightunsigned(fp, width * i).bitwiseAND((1 << width) - 1) for i in range(blocks)]
+        keys = F.array(*(F.xxhash64(F.lit(k), cut[i], cut[j]) for k, (i, j) in enumerate(combinations(range(blocks), 2))))
+        rows = written(_shared_buckets(nodes.select("id", "sketch", F.explode(keys).alias("bucket"))), "shared")
     else:
-        rows = nodes.withColumn("pop", F.bit_count(fp))
-        sizes = {r[0]: r[1] for r in rows.groupBy("pop").count().collect()}  # at most 65 rows
-        ranges, at_tile = [], 0  # lowest and highest population count, tiles, first tile
-        for p in sorted(sizes):
-            if ranges and ranges[-1][2] == 1 and ranges[-1][4] + sizes[p] <= WIDE_TILE:
-                ranges[-1][1], ranges[-1][4] = p, ranges[-1][4] + sizes[p]
-            else:
-                ranges.append([p, p, -(-sizes[p] // WIDE_TILE), at_tile, sizes[p]])
-                at_tile += ranges[-1][2]
-        where = {p: (r[2], r[3], min(x[3] for x in ranges if x[1] >= r[0] - radius), max(x[3] + x[2] - 1 for x in ranges if x[0] <= r[1] + radius)) for r in ranges for p in range(r[0], r[1] + 1) if p in sizes}
-        pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for p in where for x in (p, where[p][k]))), F.col("pop")) if where else F.lit(0)
-        rows = rows.select("id", "sketch", (pick(1) + F.pmod(F.xxhash64("id"), pick(0))).cast("long").alias("tile"), pick(2).cast("long").alias("lo"), pick(3).cast("long").alias("hi"))
-        tiles = rows.groupBy("tile", "lo", "hi").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("sketch")).alias("words")).withColumn("bucket", F.lit(0).cast("long"))
-        tiles = tiles.withColumn("partners", F.sequence("lo", "hi"))
-    pair = lambda i, j, side: F.struct(F.struct(F.col("bucket"), i.alias("i"), j.alias("j")).alias("pair"), F.lit(side).alias("side"))
-    of = F.transform("partners", lambda x: F.when(x >= F.col("tile"), pair(F.col("tile"), x, 0)).otherwise(pair(x, F.col("tile"), 1)))
-    more = ["sets"] if "sets" in tiles.columns else []
-    pairs = tiles.select(F.explode(of).alias("x"), "ids", "words", *more).select(F.to_json("x.pair").alias("pair"), "x.side", "ids", "words", *more)
-    pairs = pairs.repartition(n, "pair").sortWithinPartitions("pair", "side")
-    return pairs.mapInArrow(_linker(radius, full, least), "a long, b long")
+        rows = nodes.select("id", "sketch", F.lit(0).cast("long").alias("bucket"))
+    if "items" not in rows.columns:
+        rows = rows.withColumn("items", F.lit(0))
+    pairs = _tile_pairs(rows, radius).select("bucket", "i", "j", "side", "id", "sketch", *(["set"] if "set" in rows.columns else []))
+    pairs = pairs.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    return pairs.mapInArrow(_linker(radius, full, least, "set" in rows.columns), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, full: int | None = None, distinct: bool = False, bands: tuple[int, int] | None = None, least: float | None = None) -> DataFrame:

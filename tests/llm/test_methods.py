@@ -57,12 +57,11 @@ def test_simhash_by_brute_force(spark, docs, write_tables):
     assert sorted(str(tuple(r)) for r in simhash.op2_simhash(spark, folder).select("doc_id", "fingerprint", "component_id").collect()) == want
 
 
-@pytest.mark.parametrize(("radius", "tile"), [(1, 4096), (2, 3), (2, 4096), (9, 16_384)])
+@pytest.mark.parametrize(("radius", "tile"), [(1, 4096), (2, 3), (2, 4096), (9, 37), (9, 4096)])
 def test_links_by_brute_force(spark, monkeypatch, radius, tile):
     """Fingerprints that cluster, in small tiles too."""
     rng = random.Random(5)
     monkeypatch.setattr(simhash, "TILE", tile)
-    monkeypatch.setattr(simhash, "WIDE_TILE", 37)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = {0}
     for b in base:
@@ -79,25 +78,45 @@ def test_links_by_brute_force(spark, monkeypatch, radius, tile):
     assert all(got.get(s, s) == want[g] for s, g in zip(signed, group, strict=True))
 
 
-def test_tiles_of_far_population_counts_never_meet(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 4)
+@pytest.mark.parametrize("items", [0, 1 << 18])
+def test_tiles_of_far_population_counts_never_meet(spark, monkeypatch, items):
+    """All pairs within the radius are in one tile pair at least; tiles are of bounded size, and of no others than near counts."""
+    monkeypatch.setattr(simhash, "TILE", 4 if not items else 4096)
+    monkeypatch.setattr(simhash, "SET_ITEMS", 1 << 20)
     rng = random.Random(35)
-    rows_ = [(i, [(1 << rng.randrange(0, 40)) - 1], i % 3) for i in range(200)] + [(1000, [3], 7), (1001, [1], 7)]
-    tiles = simhash._bucket_tiles(spark.createDataFrame(rows_, "id long, sketch array<long>, bucket long"), 2).collect()
-    assert sum(len(t["ids"]) for t in tiles) == len(rows_)
-    pop = {i: sketch[0].bit_count() for i, sketch, _ in rows_}
-    by_tile = {(t["bucket"], t["tile"]): t["ids"] for t in tiles}
-    met = set()
-    for t in tiles:
-        if t["bucket"] == 7:
-            assert t["partners"] == [t["tile"]] and len(t["ids"]) == 2
-            continue
-        assert len({pop[i] for i in t["ids"]}) == 1
-        for x in t["partners"]:
-            other = by_tile.get((t["bucket"], x), [])
-            assert all(abs(pop[i] - pop[j]) <= 2 for i in t["ids"] for j in other)
-            met |= {(i, j) for i in t["ids"] for j in other}
-    assert all((i, j) in met for i, _, a in rows_ for j, _, b in rows_ if a == b != 7 and abs(pop[i] - pop[j]) <= 2)
+    rows_ = [(i, [(1 << min(rng.randrange(0, 40), rng.randrange(0, 60))) - 1], i % 3, items) for i in range(240)] + [(1000, [3], 7, items), (1001, [1], 7, items)]
+    pairs = simhash._tile_pairs(spark.createDataFrame(rows_, "id long, sketch array<long>, bucket long, items long"), 2).collect()
+    pop, met = {i: sketch[0].bit_count() for i, sketch, *_ in rows_}, set()
+    by_pair = {}
+    for r in pairs:
+        by_pair.setdefault((r["bucket"], r["i"], r["j"]), ([], []))[r["side"]].append(r["id"])
+    tiles = {(b, i): ids for (b, i, j), (ids, _) in by_pair.items() if i == j}
+    assert sorted(x for ids in tiles.values() for x in ids) == sorted(pop) and max(map(len, tiles.values())) <= 12
+
+    def planned(b, tile):
+        """The counts that may be dealt to a tile, whether or not a row of each is."""
+        own, before, out = Counter(pop[i] for i, _, bucket, _ in rows_ if bucket == b), 0.0, []
+        for p, n in sorted(own.items()):
+            fill = n / 4 if not items else n * items / (1 << 20)
+            lo = math.floor(before)
+            if lo <= tile <= max(lo, math.ceil(before + fill) - 1):
+                out.append(p)
+            before += fill
+        return out
+
+    for (b, i, j), (left, right) in by_pair.items():
+        assert not right if i == j else (set(left) <= set(tiles[b, i]) and set(right) <= set(tiles[b, j]))
+        right = left if i == j else right
+        span = planned(b, i), planned(b, j)
+        assert min(span[1]) - max(span[0]) <= 2 and min(span[0]) - max(span[1]) <= 2
+        met |= {frozenset((x, y)) for x in left for y in right}
+    assert all(frozenset((x, y)) in met for x, _, a, _ in rows_ for y, _, b, _ in rows_ if a == b and abs(pop[x] - pop[y]) <= 2)
+    assert len(by_pair) < len(tiles) * (len(tiles) + 1) / 6
+
+
+def test_of_buckets_with_the_same_ids_one_is_compared(spark):
+    keyed = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (2, 11), (1, 12), (3, 13), (1, 14), (2, 14), (3, 14)], "id long, bucket long")
+    assert sorted(map(tuple, simhash._shared_buckets(keyed).select("bucket", "id").collect())) == [(10, 1), (10, 2), (14, 1), (14, 2), (14, 3)]
 
 
 def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch):
