@@ -24,6 +24,7 @@ OVER = 4
 LANGUAGES = 4_096
 UNDECIDED = "und"
 _CHUNK = 1 << 19  # characters that are counted at once, about
+_ROWS = 16  # texts that are counted at once
 
 _LETTER: np.ndarray | None = None
 _LOG = np.log1p(np.arange(1 << 16)).astype(np.float32)
@@ -79,7 +80,7 @@ def ngram_counts(values: list[str]):
             i += 1
             continue
         j, size = i, 0
-        while j < len(values) and j - i < 64 and size + len(values[j]) <= _CHUNK:
+        while j < len(values) and j - i < _ROWS and size + len(values[j]) <= _CHUNK:
             size, j = size + len(values[j]), j + 1
         yield i, *_count(values[i:j])
         i = j
