@@ -46,8 +46,9 @@ _INV = _powers(_P_INV, _BLOCK + 1)
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB at most, however long the texts are; a lower limit of the session stays."""
-    name = "spark.sql.execution.arrow.maxlimitPerBatch"
-    if (limit := spark.conf.get(name, "")) and (not limit.rstrip("b").isdigit() or int(limit.rstrip("b")) > BATCH_BYTES):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name).rstrip("b")
+    if not limit.isdigit() or int(limit) > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
 
 
