@@ -205,28 +205,30 @@ def train(docs: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Languag
     return LanguageModel(classes, idf, w, b, fit_temperature(logits, np.array([y for _, _, y in check])))
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, *keep: str) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None, *keep: str, text: str = "text") -> DataFrame:
     """keep columns, lang_pred and score (the calibrated probability) for each row of docs.
 
     `und` with score 0 where the text is null or has no letter, or nothing could be learned. Empty tables give no rows.
+    A text that is to be kept travels once.
     """
+    sent = [*keep] if text in keep else [*keep, text]
+    at = sent.index(text)
 
     def run(batches):
         for batch in batches:
-            k = batch.num_columns - 1
-            values = batch.column(k).to_pylist()
+            values = [x or "" for x in batch.column(at).to_pylist()]
             pred, score = [UNDECIDED] * len(values), np.zeros(len(values))
             for first, counts, some in ngram_counts(values) if model else ():
                 p = model.probabilities(tf_idf(counts, model.idf))
                 best = p.argmax(axis=1)
                 for i in np.flatnonzero(some):
                     pred[first + i], score[first + i] = model.classes[best[i]], p[i, best[i]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    rows = docs.select(*sent)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string", "score double"])
+    return rows.mapInArrow(run, schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
