@@ -27,8 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     model = language.train(docs, ~held_out(5, 0))
     plain = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
-    renamed = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
-    found = language.identify(renamed, model, *plain)
+    found = language.identify(docs.toDF(*plain), model, *plain, text=plain[docs.columns.index("text")])
     kept = found.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*plain).toDF(*docs.columns)
 
