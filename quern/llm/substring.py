@@ -3,12 +3,15 @@
 A passage is a window of 13 words. Documents are seeded with winnowed anchors: of each window's nine 5-word grams the one
 with the smallest hash, so equal windows have an equal anchor at an equal place. Documents are joined on anchors, and where
 two share one, each occurrence is extended by 8 words both ways, which covers every window around it. Occurrences with the
-same words on both sides are one group, represented by its first document; representatives of an anchor that differ are
-compared by the words of each extension of 13, and the longest extension that an earlier document has is kept. Extensions
-of neighbouring anchors overlap, and together are the maximal repeats of 13 words and more.
-
-Anchors are 64-bit hashes and only bring documents together; words are compared by 128 bits of SHA-256. Nothing holds a
-group in memory: groups are partial aggregates, and joins deal the rows of a frequent key to several tasks.
+same words on both sides are one group, represented by its first document. Representatives of an anchor that differ are
+compared word by word in both directions, and the longest extension that an earlier document has is kept. Extensions of
+neighbouring anchors overlap, and together are the maximal repeats of 13 words and more.
+
+Anchors that more than 64 documents have are not compared pair by pair: the representatives' extensions of 13 words are
+grouped by their words instead, which gives the same, and grows with their number alone. Anchors are 64-bit hashes and only
+bring documents together; groups and extensions are compared by 128 bits of SHA-256, single words by 64-bit hashes of their
+own. Nothing holds an unbounded group in memory: groups are partial aggregates, and joins deal the rows of a frequent key
+to several tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from .common import bounded_batches, discard, mix, release, slices, split_join,
 WINDOW = 13
 ANCHOR = 5
 REACH = WINDOW - ANCHOR
+MANY = 64  # documents of an anchor that are compared pair by pair
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -83,18 +87,24 @@ def _extended(batches):
 
     before is the number of words before the anchor, n of all, start the first one's place in the text.
     """
-    names = ["doc_id", "mark", "start", "before", "n", "words"]
+    names = ["doc_id", "mark", "h", "many", "start", "before", "n", "words"]
     for batch in batches:
         raw, at = string_buffers(batch.column(2))
         lists = batch.column(3)
-        where, shared = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        where, (shared, many) = lists.offsets.to_numpy(), (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        shared = shared.view(np.uint64)
         for a, b in slices(at, 1 << 20):
             own = raw[at[a] : at[b]]
             starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
             places, h = anchors_of(starts, ends, doc, own)
             of = np.repeat(np.arange(b - a), np.diff(where[a : b + 1])).astype(np.uint64)
-            there = np.isin(mix(h + doc[places].astype(np.uint64) * _C), mix(shared[where[a] : where[b]] + of * _C))
-            places = places[there]
+            wanted, own_keys = mix(shared[where[a] : where[b]] + of * _C), mix(h + doc[places].astype(np.uint64) * _C)
+            order = np.argsort(wanted)
+            if not len(order) or not len(places):
+                continue
+            k = order[np.minimum(np.searchsorted(wanted, own_keys, sorter=order), len(order) - 1)]
+            there = wanted[k] == own_keys
+            places, h, frequent = places[there], h[there], many[where[a] : where[b]][k[there]]
             if not len(places):
                 continue
             sizes = ends - starts
@@ -109,7 +119,52 @@ def _extended(batches):
                 k = slice(i, i + 20_000)
                 words = _strings(joined, to[lo[k]], to[hi[k] - 1] + sizes[hi[k] - 1] - to[lo[k]])
                 ints = [pa.array(x.astype(np.int32)) for x in (lo[k] - first[k], places[k] - lo[k], hi[k] - lo[k])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take[k]), batch.column(1).take(take[k]), *ints, words], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take[k]), batch.column(1).take(take[k]), pa.array(h[k].view(np.int64)), pa.array(frequent[k]), *ints, words], names)
+
+
+def _compared(batches):
+    """Rows (h, first, before, words, key) by h, first: for each key the stretch (lo, hi) of its words that an earlier document has.
+
+    Each is compared with those after it in its run; a run has the contexts of MANY documents at most.
+    """
+    width, names = 2 * REACH + ANCHOR, ["key", "lo", "hi"]
+    held = None
+
+    def give(h, first, before, key, grid):
+        lo, hi = np.full(len(h), width), np.zeros(len(h), np.int64)
+        at = np.arange(len(h))
+        step = 1
+        while len(at := at[at + step < len(h)]) and len(at := at[h[at] == h[at + step]]):
+            i = at[first[at] < first[at + step]]
+            same = (grid[i] == grid[i + step]) & (grid[i] != 0)
+            left = np.cumprod(same[:, REACH - 1 :: -1], axis=1).sum(axis=1)
+            right = np.cumprod(same[:, REACH + ANCHOR :], axis=1).sum(axis=1)
+            long_ = same[:, REACH : REACH + ANCHOR].all(axis=1) & (left + right >= REACH)
+            i, left, right = i[long_] + step, left[long_], right[long_]
+            lo[i] = np.minimum(lo[i], before[i] - left)
+            hi[i] = np.maximum(hi[i], before[i] + ANCHOR + right)
+            step += 1
+        own = np.flatnonzero(hi)
+        return pa.RecordBatch.from_arrays([pa.array(key[own], pa.binary()), pa.array(lo[own], pa.int32()), pa.array(hi[own], pa.int32())], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, first, before = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        raw, at = string_buffers(batch.column(3))
+        starts, ends, row = word_spans(raw, at)
+        grid = np.zeros((len(h), width), np.uint64)  # each word at its distance from the anchor; 0 where the text begins or ends
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        grid[row, REACH - before[row] + nth] = word_hashes(raw, starts, ends) | np.uint64(1)
+        now = [h, first, before.astype(np.int64), np.array(batch.column(4).to_pylist(), object), grid]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]  # noqa: B905
+        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        if last:
+            yield give(*(x[:last] for x in now))
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield give(*held)
 
 
 def _strip(batches):
@@ -163,12 +218,12 @@ def _later_copies(known: DataFrame) -> DataFrame:
 
 
 def _shared_seeds(known: DataFrame) -> DataFrame:
-    """doc_id, mark, hs: the anchors of each row that a row with another doc_id has too."""
+    """doc_id, mark, hs: the anchors of each row that a row with another doc_id has too, and whether many have."""
     seeds = written(known.select("doc_id", "mark", "text").mapInArrow(_seeds, "h long, doc_id long, mark int"), "seeds")
-    shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
+    shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n", (F.col("n") > MANY).alias("many"))
     shared = written(shared, "shared")
     both = split_join(seeds, shared, ["h"], "n", "doc_id")
-    lists = written(both.groupBy("doc_id", "mark").agg(F.collect_list("h").alias("hs")), "anchors")
+    lists = written(both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "many")).alias("hs")), "anchors")
     discard(seeds, shared)
     return lists
 
@@ -179,20 +234,25 @@ def _digest(words: Column) -> Column:
 
 def _repeats(known: DataFrame, shared: DataFrame) -> DataFrame:
     """doc_id, mark, spans: stretches of words (start, end) around anchors that an earlier document has."""
-    found = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_extended, "doc_id long, mark int, start int, before int, n int, words string")
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_extended, "doc_id long, mark int, h long, many boolean, start int, before int, n int, words string")
     found = written(found.withColumn("key", _digest(F.concat_ws(" ", "before", "words"))), "extended")
     release(known.sparkSession)
-    groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("words").alias("words")), "groups")
+    one = lambda *names: (F.first(x).alias(x) for x in names)  # noqa: E731  equal in all of a group
+    groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), *one("h", "many", "before", "words")), "groups")
+    release(known.sparkSession)
+    few = groups.where("NOT many").select("h", "first", "before", "words", "key").repartition(n, "h").sortWithinPartitions("h", "first")
+    few = written(few.mapInArrow(_compared, "key binary, lo int, hi int"), "few")
     word = F.split("words", " ")
     each = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(word, i, WINDOW)))
-    parts = groups.select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
+    parts = groups.where("many").select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
     parts = written(parts, "parts")
     least = parts.groupBy("part").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("part", "least", "n")
     least = written(least, "least")
     late = split_join(parts, least, ["part"], "n", "key").where("least < first")
     late = late.groupBy("key").agg(F.min("place").alias("lo"), (F.max("place") + WINDOW).alias("hi"))  # all parts hold the anchor, so late ones join
-    verdicts = written(groups.select("key", "first", "rows").join(late, "key", "left").where("rows > 1 OR lo IS NOT NULL"), "verdicts")
-    discard(groups, parts, least)
+    verdicts = written(groups.select("key", "first", "rows").join(few.unionByName(late), "key", "left").where("rows > 1 OR lo IS NOT NULL"), "verdicts")
+    discard(groups, few, parts, least)
     release(known.sparkSession)
     own = split_join(found.select("doc_id", "mark", "start", "n", "key"), verdicts, ["key"], "rows", "doc_id", "start")
     whole = F.col("doc_id") > F.col("first")

@@ -95,7 +95,10 @@ def test_keep_first(clashing):
     assert len(texts) == len(set(texts)) == len({re.sub(WHITE, " ", r[1] or "") for r in rows()})
 
 
-def test_substring_by_brute_force(docs):
+@pytest.mark.parametrize("many", [0, 2, 64])
+def test_substring_by_brute_force(docs, monkeypatch, many):
+    """With all anchors compared by their extensions' words, some, and none."""
+    monkeypatch.setattr(substring, "MANY", many)
     from collections import Counter
 
     data = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows()]
