@@ -117,23 +117,26 @@ def features(tokens: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np
     return own, some, slot
 
 
-def log_probabilities(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Natural log of a factor's probabilities, n x the outcomes."""
-    z = w[feats[0]]
+def logits(w: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """The sums of each token's rows of weights, less their largest, n x the outcomes."""
+    z = w.take(feats[0], axis=0)
     for at in feats[1:]:
-        z += w[at]
+        z += w.take(at, axis=0)
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_probabilities(w: np.ndarray, feats: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Natural log of a factor's probability of what was found."""
+    z = logits(w, feats)
+    own = z[np.arange(len(z)), found]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def step(w: np.ndarray, g2: np.ndarray, feats: np.ndarray, found: np.ndarray) -> None:
     """One AdaGrad step on a block of tokens, with a rate for each row of weights."""
     n = len(found)
-    p = w[feats[0]]
-    for at in feats[1:]:
-        p += w[at]
-    p -= p.max(axis=1, keepdims=True)
+    p = logits(w, feats)
     np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(n), found] -= 1
@@ -145,7 +148,7 @@ def step(w: np.ndarray, g2: np.ndarray, feats: np.ndarray, found: np.ndarray) ->
             sorted_ = at[order]
             cut = runs(sorted_)
             rows = sorted_[cut[:-1]]
-            g = np.add.reduceat(p[order], cut[:-1], axis=0)
+            g = np.add.reduceat(p.take(order, axis=0), cut[:-1], axis=0)
             g /= np.sqrt(np.diff(cut)).astype(np.float32)[:, None]
         g2[rows] += np.einsum("ij,ij->i", g, g) / np.float32(2)
         g *= (RATE / np.sqrt(g2[rows]))[:, None]
@@ -356,11 +359,9 @@ def token_scores(model: LanguageModel, tokens: np.ndarray, first: np.ndarray, co
     feats, some, slot_feats = features(tokens, cls, first)
     slot, leaf = slots(tokens[some]), leaves(tokens[some])
     for i in range(0, len(tokens), _STEP):
-        lp = log_probabilities(w, feats[:, i : i + _STEP])
-        out[i : i + _STEP] = lp[np.arange(len(lp)), cls[i : i + _STEP]]
+        out[i : i + _STEP] = log_probabilities(w, feats[:, i : i + _STEP], cls[i : i + _STEP])
     for i in range(0, len(some), _STEP):
-        lp = log_probabilities(w_slot, slot_feats[:, i : i + _STEP])
-        out[some[i : i + _STEP]] += lp[np.arange(len(lp)), slot[i : i + _STEP]]
+        out[some[i : i + _STEP]] += log_probabilities(w_slot, slot_feats[:, i : i + _STEP], slot[i : i + _STEP])
     out /= np.log(10)
     out[some] += np.log10((counts[some] + 1) / (model.leaf_tokens + model.leaf_words + 1)[leaf])
     return out
