@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.queries import TemporalTarget, class_of
+from ..functions.queries import PLAIN, TemporalTarget, class_of
 from ..functions.scoring import at, feedback_boost, recency_decay, saturated, temporal_boost
 from ..functions.text import keyword_overlap, query_keywords
 from . import fusion, graph, knn, search
@@ -90,7 +90,7 @@ def fused(records: DataFrame, found: DataFrame, ask: Recall, edges: DataFrame |
     for weight, value in signals.values():
         if weight:
             score = score + weight * value
-    if class_of(ask.query) != "natural_language":  # an identifier is meant literally: the text index's order counts more
+    if class_of(ask.query) != PLAIN:  # an identifier is meant literally: the text index's order counts more
         score = score + F.coalesce(1.0 / (10 + F.col("fts_rank")), F.lit(0.0))
     shown = [(n, v) for n, (weight, v) in signals.items() if weight]
     entries = F.filter(F.array(*(F.struct(F.lit(n).alias("signal"), v.cast("double").alias("value")) for n, v in shown)), lambda s: (s["value"] > 0) | s["signal"].isin("vector_similarity", "recency"))

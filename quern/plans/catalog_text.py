@@ -175,15 +175,28 @@ def _(t):
     return rows.select("event_id", F.explode(entities.captures(F.col("text"))).alias("c")).select("event_id", "c.kind", "c.summary")
 
 
-_CLASSES = " ".join(f"WHEN regexp_matches(q, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in queries.CLASSES if "(?=" not in p)
-
-
-@query("query_class", f"WITH c AS (SELECT page_id, url AS q FROM pages UNION ALL SELECT o_orderkey + 1000000, CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority WHEN 1 THEN 'src/db.rs' WHEN 2 THEN 'getUser' WHEN 3 THEN '1234567' WHEN 4 THEN 'fn login' ELSE 'how does login work' END FROM orders) SELECT page_id AS id, CASE WHEN regexp_matches(q, '\\s') THEN CASE WHEN q = 'fn login' THEN 'code_symbol' ELSE 'natural_language' END {_CLASSES} ELSE 'natural_language' END AS class FROM c")
-def _(t):
-    k = F.col("o_orderkey") % 6
-    q = F.when(k == 0, F.col("o_orderpriority")).when(k == 1, "src/db.rs").when(k == 2, "getUser").when(k == 3, "1234567").when(k == 4, "fn login").otherwise("how does login work")
-    rows = t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("q")).unionByName(t.orders.select((F.col("o_orderkey") + 1000000).alias("id"), q.alias("q")))
-    return rows.select("id", queries.query_class(F.col("q")).alias("class"))
+#: The classes of words and addresses as they stand in the tables, by patterns of their own.
+_CLASS_SQL = r'''
+WITH q AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS q FROM documents UNION SELECT url FROM pages UNION SELECT p_name FROM part UNION SELECT o_orderpriority FROM orders)
+SELECT q, CASE WHEN q IS NULL OR q = '' OR regexp_matches(q, '\s') THEN 'natural-language'
+  WHEN regexp_full_match(lower(q), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'uuid'
+  WHEN regexp_full_match(lower(q), 'https?://.+') THEN 'hostname'
+  WHEN q LIKE './%' OR q LIKE '../%' OR len(list_filter(string_split(q, '/'), lambda x: x <> '')) > 1 THEN 'path'
+  WHEN list_contains(string_split('EXTENSIONS', ' '), lower(regexp_extract(q, '^.+\.([A-Za-z]+)$', 1))) THEN 'path'
+  WHEN regexp_full_match(q, '([A-Za-z0-9]+(-+[A-Za-z0-9]+)*\.)+[A-Za-z][A-Za-z]+') THEN 'hostname'
+  WHEN regexp_full_match(q, '[A-Za-z_][-A-Za-z0-9_]*\.[A-Za-z0-9]{1,8}') AND regexp_matches(string_split(q, '.')[2], '[A-Za-z]') THEN 'path'
+  WHEN contains(q, '::') AND len(list_filter(string_split(q, '::'), lambda x: NOT regexp_full_match(x, '[A-Za-z_]\w*'))) = 0 THEN 'symbol'
+  WHEN regexp_full_match(q, '[A-Za-z_]\w*[(][^)]*[)]') THEN 'symbol'
+  WHEN regexp_full_match(q, '\d{7,}') OR (length(q) > 15 AND regexp_full_match(q, '[A-Za-z0-9]*[0-9][A-Za-z0-9]*')) THEN 'numeric-id'
+  WHEN regexp_full_match(q, '[A-Za-z]\w*') AND (contains(q, '_') OR regexp_matches(substring(q, 2), '[A-Z]')) THEN 'symbol'
+  ELSE 'natural-language' END AS class FROM q'''.replace("EXTENSIONS", " ".join(queries.EXTENSIONS))
+
+
+@query("query_class", _CLASS_SQL)
+def _(t):
+    word = t.documents.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("q"))
+    rows = word.unionByName(t.pages.select(F.col("url").alias("q"))).unionByName(t.part.select(F.col("p_name").alias("q"))).unionByName(t.orders.select(F.col("o_orderpriority").alias("q"))).distinct()
+    return rows.select("q", queries.query_class(F.col("q")).alias("class"))
 
 
 @query("ask_intent", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'text' WHEN 1 THEN 'causality' WHEN 2 THEN 'graph' WHEN 3 THEN 'temporal' WHEN 4 THEN 'rules' WHEN 5 THEN 'vector' ELSE 'combined' END AS intent FROM events")
