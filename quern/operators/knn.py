@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_matrix, cosine, encode_int8, hamming, hashed_embedding, sign_words, unit_rows
@@ -57,6 +57,65 @@ def search(df: DataFrame, key: str, vector: str, queries: list, k: int | None =
     return best.select("query", F.posexplode("top").alias("rank", "t")).select("query", F.col("t.k").alias(key), (-F.col("t.s")).alias("score"), "rank")
 
 
+def search_set(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query, key, score, rank: the k nearest rows of each query (query, vector), ties by key; for query sets of any size.
+
+    Queries go in blocks, rows in as many groups as there are partitions; each block meets each group once, and a task
+    keeps the best k of a block while its rows stream by. Of these a window takes the best k, of each partition first.
+    Null vectors are no rows and no queries. The work is that of all queries against all rows, as the search is exact.
+    """
+    spark = df.sparkSession
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.where(F.col("vector").isNotNull()).select("query", F.col("vector").alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    kind, of = df.schema[key].dataType, queries.schema["query"].dataType
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.select(spread("query", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v")
+    rows = df.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(key, groups).alias("part"), F.lit(1).alias("side"), F.lit(None).cast(of).alias("q"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    dealt = left.unionByName(rows).repartition(groups, "block", "part").sortWithinPartitions("block", "part", "side")
+
+    def run(batches):
+        now, unit, ids, best = None, [], [], None
+
+        def close():
+            if best is not None:
+                q = np.repeat(np.arange(len(best)), [len(b[0]) for b in best])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query", key, "score"])
+
+        for batch in batches:
+            at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            cut = [0, *(np.flatnonzero(np.any(at[1:] != at[:-1], axis=1)) + 1).tolist(), len(at)]
+            for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
+                if a == b:
+                    continue
+                if now != tuple(at[a, :2]):
+                    yield from close()
+                    now, unit, ids, best = tuple(at[a, :2]), [], [], None
+                part = batch.slice(a, b - a)
+                m = unit_rows(as_matrix(part.column(5)))
+                if at[a, 2] == 0:
+                    unit.append(m)
+                    ids += part.column(3).to_pylist()
+                elif ids:
+                    keys = part.column(4).to_numpy(zero_copy_only=False)
+                    sims = np.concatenate(unit) @ m.T
+                    best = best or [(np.zeros(0), keys[:0])] * len(ids)
+                    for i, s in enumerate(sims):
+                        s, names = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], keys])
+                        order = np.lexsort((names, -s))[:k] if len(s) <= 4 * k else _best(s, names, k)
+                        best[i] = (s[order], names[order])
+        yield from close()
+
+    got = dealt.mapInArrow(run, f"query {of.simpleString()}, {key} {kind.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
+
+
+def _best(s: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+    return at[np.lexsort((names[at], -s[at]))[:k]]
+
+
 def vector_of(df: DataFrame, key: str, vector: str, value: object) -> list[float]:
     """The vector of one row; KeyError where it has none."""
     row = df.where(F.col(key) == F.lit(value)).select(vector).first()

@@ -41,12 +41,12 @@ def _(t):
 
 @query(
     "knn_batch",
-    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT qid, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings CROSS JOIN q)
-    SELECT CAST(qid AS INT) AS query, id, round(score, 6) AS score, CAST(r - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""",
+    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings CROSS JOIN q)
+    SELECT qid AS query, id, round(score, 6) AS score, CAST(r - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""",
 )
 def _(t):
-    five = [r[0] for r in rows(t).where("id < 5").orderBy("id").select("vector").collect()]  # the query set: five vectors
-    return knn.search(rows(t), "id", "vector", five, 5).withColumn("score", F.round("score", 6))
+    asked = rows(t).where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    return knn.search_set(rows(t), "id", "vector", asked, 5).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -118,13 +118,12 @@ def _(t):
 
 @query(
     "eval_recall_at_k",
-    """WITH q AS (SELECT vec_id AS qid, label AS ql, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 8), s AS (SELECT qid, ql, vec_id AS id, label, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) - 1 AS rank FROM embeddings CROSS JOIN q),
+    """WITH q AS (SELECT vec_id AS qid, label AS ql, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, ql, vec_id AS id, label, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) - 1 AS rank FROM embeddings CROSS JOIN q),
     r AS (SELECT qid, count(*) FILTER (WHERE rank < 10 AND label = ql) AS found, count(*) FILTER (WHERE label = ql) AS relevant, min(rank) FILTER (WHERE rank < 10 AND label = ql) AS f, count(*) FILTER (WHERE rank < 10 AND label <> ql) AS fp FROM s GROUP BY 1)
-    SELECT CAST(qid AS INT) AS query, found, relevant, round(found / CAST(relevant AS DOUBLE), 8) AS recall, found > 0 AS hit, round(coalesce(1.0 / (f + 1), 0), 8) AS reciprocal_rank, fp AS false_positives FROM r""",
+    SELECT qid AS query, found, relevant, round(found / CAST(relevant AS DOUBLE), 8) AS recall, found > 0 AS hit, round(coalesce(1.0 / (f + 1), 0), 8) AS reciprocal_rank, fp AS false_positives FROM r""",
 )
 def _(t):
-    eight = rows(t).where("id < 8").orderBy("id").select("vector", "label").collect()  # the query set: eight vectors
-    ranked = knn.search(rows(t), "id", "vector", [r[0] for r in eight], 10)
-    wanted = t.spark.createDataFrame([(i, r[1]) for i, r in enumerate(eight)], "query int, label int")
-    got = evaluate.at_k(ranked, rows(t).join(wanted, "label").select("query", "id"), 10)
+    asked = rows(t).where("id % 20 = 0").select(F.col("id").alias("query"), "vector", "label")
+    ranked = knn.search_set(rows(t), "id", "vector", asked, 10)
+    got = evaluate.at_k(ranked, rows(t).select("id", "label").join(asked.select("query", "label"), "label").select("query", "id"), 10)
     return got.withColumn("recall", F.round("recall", 8)).withColumn("reciprocal_rank", F.round("reciprocal_rank", 8))
