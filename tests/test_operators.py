@@ -73,7 +73,7 @@ def test_entities_and_captures(spark):
 
 @pytest.mark.parametrize(
     ("query", "kind"),
-    [("550e8400-e29b-41d4-a716-446655440000", "uuid"), ("https://a.b/c", "host_or_url"), ("src/db.rs", "path"), ("./x", "path"), ("config.toml", "path"), ("api.example.com", "host_or_url"), ("Foo::bar", "code_symbol"), ("run()", "code_symbol"), ("1234567", "numeric_id"), ("2026", "natural_language"), ("01ARZ3NDEKTSV4RRFFQ69G5FAV", "numeric_id"), ("get_user", "code_symbol"), ("getUser", "code_symbol"), ("login", "natural_language"), ("fn login", "code_symbol"), ("how to log in", "natural_language"), ("", "natural_language")],
+    [("550e8400-e29b-41d4-a716-446655440000", "uuid"), ("https://a.b/c", "hostname"), ("src/db.rs", "path"), ("./x", "path"), ("config.toml", "path"), ("api.example.com", "hostname"), ("Foo::bar", "symbol"), ("run()", "symbol"), ("1234567", "numeric-id"), ("2026", "natural-language"), ("01ARZ3NDEKTSV4RRFFQ69G5FAV", "numeric-id"), ("get_user", "symbol"), ("getUser", "symbol"), ("login", "natural-language"), ("fn login", "symbol"), ("how to log in", "natural-language"), ("", "natural-language")],
 )
 def test_query_class(spark, query, kind):
     assert queries.class_of(query) == kind
@@ -331,3 +331,37 @@ def test_markdown_sections_take_whole_pages(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.org/x", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["heading"]: r for r in catalog.queries()["markdown_sections"](spark, str(tmp_path)).collect()}
     assert set(got) == {"a.org", "/x", "Late heading"} and got["Late heading"]["line_start"] == got["/x"]["line_end"] + 1 == 107
+
+
+def test_failure_clusters_are_those_of_one_after_the_other(spark):
+    """Seeds by brute force in the order of time; chains of near fingerprints, repeats, and failures without letters."""
+    import random
+
+    from quern.functions.text import _simhash
+
+    rng = random.Random(21)
+    vocabulary = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(40)]
+        for _ in range(8):
+            texts.append(" ".join(base) + f" {rng.randrange(100)}!")
+            base = [*base]
+            base[rng.randrange(40)] = rng.choice(vocabulary)
+    texts += ["404", "405 !!"]
+    rng.shuffle(texts)
+    rows = [(i, t, "try again" if i % 5 == 0 else None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 7) % 50)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, error string, fix string, created_at timestamp_ntz")
+    import re
+
+    prints = {i: _simhash(re.sub(r"[^a-z]+", " ", t.lower()).strip()) % 2**64 for i, t, *_ in rows}
+    seeds, want = [], {}
+    for i, _, _, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        want[i] = next((s for s in seeds if (s ^ prints[i]).bit_count() <= 8), None)
+        if want[i] is None:
+            seeds.append(prints[i])
+            want[i] = prints[i]
+    got = {r["id"]: r["seed"] % 2**64 for r in memory.failure_clusters(df).collect()}
+    assert got == want and 1 < len(seeds) < len(texts)
+    top = memory.distilled_failures(df, "2024-02-01 00:00:00").collect()
+    assert top and all(r["fix"] == "try again" and r["frequency"] >= 2 for r in top)
