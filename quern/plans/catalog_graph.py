@@ -101,8 +101,8 @@ def _(t):
 
 @query(
     "infer_two_hop",
-    f"""WITH {_E} SELECT DISTINCT a.src, 'ships_from_region' AS derived, b.dst, 0.8 AS confidence FROM e a JOIN e b ON a.dst = b.src AND b.edge_type = 'in_region' WHERE a.edge_type = 'in_nation'
-    UNION SELECT src, 'customer_of', dst, 0.6 FROM e WHERE edge_type = 'placed_by'""",
+    f"""WITH {_E} SELECT DISTINCT a.src, 'ships_from_region' AS derived, b.dst, 0.8::DOUBLE AS confidence FROM e a JOIN e b ON a.dst = b.src AND b.edge_type = 'in_region' WHERE a.edge_type = 'in_nation'
+    UNION SELECT src, 'customer_of', dst, 0.6::DOUBLE FROM e WHERE edge_type = 'placed_by'""",
 )
 def _(t):
     return graph.infer(edges(t), (("in_nation", "in_region", "ships_from_region", 0.8), ("placed_by", None, "customer_of", 0.6)))

@@ -21,7 +21,7 @@ def _like_any(column: str, words) -> str:
     "importance",
     f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, len({split('text')}) AS n FROM documents)
     SELECT doc_id, round(CASE WHEN text = '' THEN 0.5 ELSE greatest(0.05, least(1.0, 0.5 + CASE WHEN {_like_any('low', scoring.HIGH_VALUE)} THEN 0.15 ELSE 0 END - CASE WHEN {_like_any('low', scoring.LOW_VALUE)} THEN 0.15 ELSE 0 END
-    + CASE WHEN n >= 20 THEN 0.1 WHEN n >= 10 THEN 0.05 ELSE 0 END + 0.1)) END, 6) AS importance FROM d""",
+    + CASE WHEN n >= 20 THEN 0.1 WHEN n >= 10 THEN 0.05 ELSE 0 END + 0.1)) END, 6)::DOUBLE AS importance FROM d""",
 )
 def _(t):
     got = scoring.importance(F.col("text"), F.lit(0), F.lit(5), F.lit(None).cast("string"))
@@ -229,8 +229,10 @@ def _(t):
 
 @query("distill_failures")
 def _(t):
-    rows = t.documents.join(t.labels.where("quality = 0"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("error"), F.lit(None).cast("string").alias("fix"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"))
-    return memory.distilled_failures(rows, NOW).select(F.substring("error", 1, 40).alias("error"), "frequency", F.round("impact", 6).alias("impact"), "fix")
+    """Documents of low quality as reports of failures, with their source as the fix; the clusters are those of all of them."""
+    stamp = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int")))
+    rows = t.documents.join(t.labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("error"), F.col("source").alias("fix"), stamp.alias("created_at"))
+    return memory.distilled_failures(rows, NOW).select(F.sha2("error", 256).alias("error"), "frequency", F.round("impact", 6).alias("impact"), "fix")
 
 
 @query("search_then_boost", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['hath'])} SELECT s.doc_id AS id, round(score / (score + 1) * (1 + ln(1 + coalesce(n, 0))), 6) AS score FROM s LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON l.doc_id = s.doc_id")
