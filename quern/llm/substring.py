@@ -222,6 +222,7 @@ def _shared_seeds(known: DataFrame) -> DataFrame:
     seeds = written(known.select("doc_id", "mark", "text").mapInArrow(_seeds, "h long, doc_id long, mark int"), "seeds")
     shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n", (F.col("n") > MANY).alias("many"))
     shared = written(shared, "shared")
+    release(known.sparkSession)
     both = split_join(seeds, shared, ["h"], "n", "doc_id")
     lists = written(both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "many")).alias("hs")), "anchors")
     discard(seeds, shared)
@@ -243,6 +244,7 @@ def _repeats(known: DataFrame, shared: DataFrame) -> DataFrame:
     release(known.sparkSession)
     few = groups.where("NOT many").select("h", "first", "before", "words", "key").repartition(n, "h").sortWithinPartitions("h", "first")
     few = written(few.mapInArrow(_compared, "key binary, lo int, hi int"), "few")
+    release(known.sparkSession)
     word = F.split("words", " ")
     each = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(word, i, WINDOW)))
     parts = groups.where("many").select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
@@ -274,6 +276,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _dealt(docs)
     copies = _later_copies(rows.where("doc_id IS NOT NULL"))
+    release(spark)
     known = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "mark"], "left_anti")
     shared = _shared_seeds(known)
     release(spark)
