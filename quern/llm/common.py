@@ -97,7 +97,8 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, *spre
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max(HOT, (right.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
     hot = right.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_pieces"))
-    hot = hot.unionByName(spark.range(1).select(*(F.lit(None).cast(right.schema[k].dataType).alias(k) for k in keys), F.lit(1).alias("_pieces")))  # never empty: one plan at every size
+    one = spark.range(1).select(*(F.lit("0").cast(right.schema[k].dataType).alias(k) for k in keys), F.lit(1).alias("_pieces"))
+    hot = hot.unionByName(one).groupBy(*keys).agg(F.max("_pieces").alias("_pieces"))  # never empty, for one plan at every size
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*spread), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
     copies = right.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > limit, F.ceil(F.col(n) / limit).cast("int") - 1).otherwise(0))))
     return dealt.join(copies.drop(n), [*keys, "_piece"], how).drop("_piece")
