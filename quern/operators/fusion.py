@@ -76,12 +76,12 @@ def text_chunks(df: DataFrame, key: str, text: str, size: int = 1600, overlap: i
     return long
 
 
-def collapse_near(hits: DataFrame, text: str, table: str | None = None, bits: int = 3, least: int = 24, key: str = "id") -> DataFrame:
-    """Of a ranked result (key, score, text) each row unless a better one of its table is within `bits` of its SimHash.
+def collapse_near(hits: DataFrame, text: str, table: str | None = None, bits: int = 3, least: int = 24, key: str = "id", k: int = 1000) -> DataFrame:
+    """Of the best k of a result (key, score, text) each row unless a better one of its table is within `bits` of its SimHash.
 
-    Greedy over a bounded result: kept rows are folded into an array in order of rank.
+    Greedy in order of rank: kept rows are folded into an array, of k entries at most.
     """
-    own = hits.withColumn("_h", F.when(F.length(text) >= least, simhash(F.col(text)))).withColumn("_t", F.col(table) if table else F.lit(""))
+    own = top(hits, k, key).withColumn("_h", F.when(F.length(text) >= least, simhash(F.col(text)))).withColumn("_t", F.col(table) if table else F.lit(""))
     entry = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col("_h").alias("h"), F.col("_t").alias("t"))
     rows = own.groupBy().agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     kind = rows.schema["rows"].dataType.simpleString()
@@ -95,9 +95,17 @@ def collapse_near(hits: DataFrame, text: str, table: str | None = None, bits: in
 
 
 def within_budget(hits: DataFrame, text: str, budget: int, key: str = "id") -> DataFrame:
-    """Rows by falling score as long as their tokens fit; one that doesn't fit is passed over, later ones may still fit."""
-    entry = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), token_estimate(F.col(text)).alias("n"))
-    rows = hits.groupBy().agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    """Rows by falling score as long as their tokens fit; one that doesn't fit is passed over, later ones may still fit.
+
+    Once a row of n tokens is passed over, so are all later ones of n tokens. So of each n the first budget / n rows
+    alone are folded, about budget * ln(budget) in all, however large the result is. Rows of no tokens always fit,
+    rows without text never do.
+    """
+    sized = hits.select(key, "score", token_estimate(F.col(text)).alias("_n")).where(F.col("_n") <= budget)
+    place = F.row_number().over(Window.partitionBy("_n").orderBy(F.col("score").desc(), F.col(key).asc()))
+    may = sized.where("_n > 0").withColumn("_p", place).where(F.col("_p") <= budget).where(F.col("_p") * F.col("_n") <= budget)
+    entry = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col("_n").alias("n"))
+    rows = may.groupBy().agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     kind = hits.schema[key].dataType.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("keys"))
 
@@ -105,7 +113,7 @@ def within_budget(hits: DataFrame, text: str, budget: int, key: str = "id") -> D
         fits = acc["used"] + x["n"] <= budget
         return F.struct(F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["keys"], F.array(x["k"]))).otherwise(acc["keys"]).alias("keys"))
 
-    kept = rows.select(F.explode(F.aggregate("rows", start, add)["keys"]).alias(key))
+    kept = rows.select(F.explode(F.aggregate("rows", start, add)["keys"]).alias(key)).unionByName(sized.where("_n = 0").select(key))
     return hits.join(kept, key, "left_semi")
 
 

@@ -111,7 +111,7 @@ def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Co
     if not q.terms:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
     own = df if within is None else df.withColumn("_within", within)
-    toks = own.select(key, tokens(F.col(field)).alias("_toks"), *(["_within"] if within is not None else []))
+    mark = ["_within"] if within is not None else []
     units = [u for u in dict.fromkeys((*q.phrases, *q.required, *q.excluded)) if isinstance(u, Phrase)]
 
     def counts(ts: Column) -> Column:
@@ -122,9 +122,11 @@ def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Co
             *(F.array_contains(ts, u).alias(f"_x_{i}") for i, u in enumerate(q.excluded) if isinstance(u, str)),
         )
 
-    counted = toks.select(key, once(F.col("_toks"), counts).alias("_c"), *(["_within"] if within is not None else [])).select(key, "_c.*", *(["_within"] if within is not None else []))
+    def counts_of(rows: DataFrame) -> DataFrame:
+        return rows.select(key, once(tokens(F.col(field)), counts).alias("_c"), *mark).select(key, "_c.*", *mark)
+
     n = range(len(q.terms))
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"_df{i}") for i in n))
+    stats = counts_of(own).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"_df{i}") for i in n))
     hit = F.col("_tf0") > 0
     for i in n[1:]:
         hit = hit | (F.col(f"_tf{i}") > 0)
@@ -141,7 +143,9 @@ def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Co
         tf = F.col(f"_tf{i}")
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+    # Statistics take every row's words; for the hits a row is split anew only where its raw text has a term at all.
+    found = counts_of(own.where(reduce(lambda a, b: a | b, (F.contains(F.lower(F.col(field)), F.lit(t)) for t in q.terms)))).where(hit)
+    return found.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
 
 
 def search_fields(df: DataFrame, key: str, fields: list[str], query: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,19 +93,33 @@ def first_within(events: DataFrame, keys: list[str], time: str, window: str = "5
 def repeats_dropped(rows: DataFrame, keys: list[str], time: str, key: str, seconds: int = 300) -> DataFrame:
     """A table without rows that follow one of equal keys by less than so many seconds: each kept row opens a window anew.
 
-    A fold over each key's times in order. Times alone are gathered (16 bytes a row), by key.
+    A row that comes so long after the one before it stays whatever came earlier; between two such rows the next to
+    stay is found by jumps over sorted times. One window sorts times and keys of rows (a frequent key spills, and its
+    rows stream through one task); nothing is gathered. Rows without a time stay.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(key).alias("k")))).alias("xs"))
-    kind = rows.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def add(acc: Column, x: Column) -> Column:
-        new = acc["last"].isNull() | (x["t"] - acc["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(new, x["t"]).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["kept"], F.array(x["k"]))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = lists.select(F.explode(F.aggregate("xs", start, add)["kept"]).alias(key))
-    return rows.join(kept, key, "left_semi")
+    width = seconds * 1_000_000
+    order = Window.partitionBy(*keys).orderBy("_t", key)
+    timed = rows.select(*dict.fromkeys([*keys, key]), F.unix_micros(F.col(time).cast("timestamp")).alias("_t"))
+    opens = F.coalesce(F.col("_t") - F.lag("_t").over(order) >= width, F.lit(True))
+    sorted_ = timed.where("_t IS NOT NULL").select(key, "_t", opens.alias("_opens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            t, opens = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            ends, kept, i = [*np.flatnonzero(opens).tolist(), len(t)], [], 0
+            while i < len(t):
+                if opens[i] or t[i] - last >= width:
+                    kept.append(i)
+                    last = t[i]
+                    i += 1
+                else:
+                    end = ends[bisect.bisect_right(ends, i)]
+                    i += int(np.searchsorted(t[i:end], last + width))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64()))], [key])
+
+    kept = sorted_.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}")
+    return rows.join(kept.unionByName(rows.where(F.col(time).isNull()).select(key)), key, "left_semi")
 
 
 def activations(events: DataFrame, key: str, time: str, bump: float = 0.1, cap: float = 10.0, half_life_days: float = 30.0) -> DataFrame:
