@@ -37,7 +37,7 @@ def normalized(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def searchable(columns: list[str]) -> Column:
@@ -47,7 +47,7 @@ def searchable(columns: list[str]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
 def keywords(text: Column) -> Column:

@@ -99,7 +99,7 @@ def _holds(toks: Column, unit: str | Phrase) -> Column:
 
 
 def _count(toks: Column, term: str) -> Column:
-    return F.size(F.filter(toks, lambda t: t == term))
+    return F.size(toks) - F.size(F.array_remove(toks, term))
 
 
 def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Column | None = None) -> DataFrame:
@@ -114,17 +114,17 @@ def bm25(df: DataFrame, key: str, field: str, query: str | TextQuery, within: Co
     mark = ["_within"] if within is not None else []
     units = [u for u in dict.fromkeys((*q.phrases, *q.required, *q.excluded)) if isinstance(u, Phrase)]
 
-    def counts(ts: Column) -> Column:
-        return F.struct(
+    def counts_of(rows: DataFrame) -> DataFrame:
+        ts = F.col("_toks")  # out of a generator, which filters on it don't pass: so a row is split once
+        return rows.select(key, F.explode(F.array(tokens(F.col(field)))).alias("_toks"), *mark).select(
+            key,
             F.size(ts).alias("_dl"),
             *(_count(ts, t).alias(f"_tf{i}") for i, t in enumerate(q.terms)),
             *(_holds(ts, u).alias(f"_u{i}") for i, u in enumerate(units)),
             *(F.array_contains(ts, u).alias(f"_x_{i}") for i, u in enumerate(q.excluded) if isinstance(u, str)),
+            *mark,
         )
 
-    def counts_of(rows: DataFrame) -> DataFrame:
-        return rows.select(key, once(tokens(F.col(field)), counts).alias("_c"), *mark).select(key, "_c.*", *mark)
-
     n = range(len(q.terms))
     stats = counts_of(own).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *(F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"_df{i}") for i in n))
     hit = F.col("_tf0") > 0
@@ -179,6 +179,6 @@ def vocabulary(df: DataFrame, field: str) -> DataFrame:
 def fuzzy_terms(df: DataFrame, field: str, word: str, edits: int = 1) -> DataFrame:
     """Terms of the vocabulary at most `edits` (up to 2) from a word; a swap of neighbours is one edit."""
     edits, word = min(edits, 2), word.lower()
-    near = F.length("term").between(len(word) - edits, len(word) + edits)
-    terms = df.select(F.explode(F.array_distinct(F.filter(tokens(F.col(field)), lambda t: F.length(t).between(len(word) - edits, len(word) + edits)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.where(near & levenshtein_transposed(F.col("term"), F.lit(word), edits))
+    near = F.length("term").between(max(1, len(word) - edits), len(word) + edits)
+    terms = df.select(F.explode(F.array_distinct(tokens(F.col(field)))).alias("term")).where(near).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return terms.where(levenshtein_transposed(F.col("term"), F.lit(word), edits))
