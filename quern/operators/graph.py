@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import valid_at
-from ..shared import settled
+from ..shared import bucketed, settled
 
 
 def as_of(edges: DataFrame, at: object) -> DataFrame:
@@ -170,21 +170,22 @@ def graph_boost(n: Column) -> Column:
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, nodes: DataFrame | None = None, settle_every: int = 5) -> DataFrame:
     """id, rank after so many rounds of power iteration; what nodes without a way out hold is lost, as is each round's (1 - d).
 
-    Ranks are dealt out with one join and one partial aggregate a round; a node with very many edges in sends a row a
-    task. Parallel edges count each.
+    Edges lie bucketed by src and nodes by id, in as many buckets as shuffles have partitions, so a round moves nothing
+    but the shares after their partial aggregation; a node with very many edges in sends a row a task. Parallel edges
+    count each.
     """
-    links = edges.select("src", "dst")
+    links = bucketed(edges.select("src", "dst"), "src", "links")
     ids = (nodes.select("id") if nodes is not None else links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id")))).distinct()
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
-    ids = settled(ids.join(out, F.col("id") == F.col("src"), "left").select("id", "fan"), "nodes")
+    ids = bucketed(ids.join(out, F.col("id") == F.col("src"), "left").select("id", "fan"), "id", "nodes")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
     ranks = ids.select("id", "fan", F.lit(1.0 / n).alias("rank"))
     for k in range(1, rounds + 1):
-        sent = ranks.where("fan IS NOT NULL").select(F.col("id").alias("src"), (F.col("rank") / F.col("fan")).alias("share")).join(links, "src")
-        got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        ranks = ids.join(got, "id", "left").select("id", "fan", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        sent = ranks.where("fan IS NOT NULL").select("id", (F.col("rank") / F.col("fan")).alias("share")).join(links, F.col("id") == F.col("src"))
+        got = sent.groupBy(F.col("dst").alias("to")).agg(F.sum("share").alias("got"))
+        ranks = ids.join(got, F.col("id") == F.col("to"), "left").select("id", "fan", (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if k % settle_every == 0 and k < rounds:
             ranks = settled(ranks, "ranks")
     return ranks.select("id", "rank")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_matrix, cosine, encode_int8, hamming, hashed_embedding, sign_words, unit_rows
+from ..shared import new_path
 
 TILE = 2048
 
@@ -73,16 +74,24 @@ def search_set(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
     left = asked.select(spread("query", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v")
     rows = df.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(key, groups).alias("part"), F.lit(1).alias("side"), F.lit(None).cast(of).alias("q"), F.col(key).alias("k"), F.col(vector).alias("v"))
     dealt = left.unionByName(rows).repartition(groups, "block", "part").sortWithinPartitions("block", "part", "side")
+    got = dealt.mapInArrow(_block_best(key, k), f"query {of.simpleString()}, {key} {kind.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
+
+
+def _block_best(key: str, k: int):
+    """The best k rows of each query, of batches (block, part, side, q, k, v) sorted by these: queries first, rows after them."""
 
     def run(batches):
-        now, unit, ids, best = None, [], [], None
+        now, unit, ids, best, kinds = None, [], [], None, []
 
         def close():
             if best is not None:
                 q = np.repeat(np.arange(len(best)), [len(b[0]) for b in best])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[0]), pa.array(np.concatenate([b[1] for b in best]), kinds[1]), pa.array(np.concatenate([b[0] for b in best]))], ["query", key, "score"])
 
         for batch in batches:
+            kinds = batch.schema.types[3:5]
             at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
             cut = [0, *(np.flatnonzero(np.any(at[1:] != at[:-1], axis=1)) + 1).tolist(), len(at)]
             for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
@@ -106,9 +115,7 @@ def search_set(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int,
                         best[i] = (s[order], names[order])
         yield from close()
 
-    got = dealt.mapInArrow(run, f"query {of.simpleString()}, {key} {kind.simpleString()}, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
+    return run
 
 
 def _best(s: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -242,6 +249,85 @@ def similarity_join(df: DataFrame, key: str, vector: str, least: float, by: str
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
+def fit_cells(df: DataFrame, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Unit centres of cells by spherical k-means over at most `sample` vectors, which is all that comes to the driver.
+
+    The sample only places the centres; build_cells puts every row into a cell. Fewer distinct vectors give fewer cells.
+    """
+    n = df.where(F.col(vector).isNotNull()).count()
+    drawn = df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
+    if n > sample:
+        drawn = drawn.orderBy(F.xxhash64("v", F.lit(seed))).limit(sample)
+    m = np.array([r["v"] for r in drawn.collect()], np.float64)
+    if not len(m):
+        return np.zeros((0, 0))
+    m = np.unique(unit_rows(m), axis=0)
+    rng = np.random.default_rng(seed)
+    centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(m @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, m)
+        filled = np.linalg.norm(sums, axis=1) > 0
+        centres = np.where(filled[:, None], unit_rows(sums), centres)
+    return centres
+
+
+def build_cells(df: DataFrame, key: str, vector: str, centres: np.ndarray) -> DataFrame:
+    """key, vector, cell: an index of every row with a vector, stored by the cell of its nearest centre; searches read the cells they probe."""
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            m = unit_rows(as_matrix(batch.column(1)))
+            own = np.argmax(m @ centres.T, axis=1) if len(m) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], [key, vector, "cell"])
+
+    placed = df.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{key} {kind}, {vector} {df.schema[vector].dataType.simpleString()}, cell int")
+    path = new_path(spark, "cells")
+    placed.write.partitionBy("cell").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def search_cells(index: DataFrame, key: str, vector: str, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 32, block: int = 1024) -> DataFrame:
+    """query, key, score, rank: the k nearest of the rows in the `probes` cells nearest each query (query, vector); ties by key.
+
+    Each query goes to its cells and meets their rows there: a join on (cell, slice), in which a cell's rows are dealt
+    over slices, so a large cell is many tasks, and its queries over blocks of about `block`, each of which meets the
+    cell's rows once. As many probes as centres give the exact result.
+    """
+    spark, of = index.sparkSession, queries.schema["query"].dataType.simpleString()
+    kind, n = index.schema[key].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    probes = min(probes, len(centres))
+
+    def send(batches):
+        for batch in batches:
+            m = unit_rows(as_matrix(batch.column(1)))
+            near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes] if len(m) else np.zeros((0, probes), np.int64)
+            take = pa.array(np.repeat(np.arange(len(m)), probes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(near.ravel(), pa.int32())], ["query", "v", "cell"])
+
+    if not probes:
+        return spark.createDataFrame([], f"query {of}, {key} {kind}, score double, rank int")
+    v = queries.schema["vector"].dataType.simpleString()
+    asked = queries.where(F.col("vector").isNotNull()).select("query", "vector").mapInArrow(send, f"query {of}, v {v}, cell int")
+    blocks = max(1, -(-queries.count() * probes // (len(centres) * block)))
+    asked = asked.withColumn("block", F.col("cell") * blocks + F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    left = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v")
+    rows = index.join(asked.select("cell").distinct(), "cell", "left_semi")
+    right = rows.select(F.explode(F.sequence(F.col("cell") * blocks, F.col("cell") * blocks + (blocks - 1))).alias("block"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("part"), F.lit(1).alias("side"), F.lit(None).cast(of).alias("q"), F.col(key).alias("k"), F.col(vector).cast(v).alias("v"))
+    dealt = left.unionByName(right).repartition(n, "block", "part").sortWithinPartitions("block", "part", "side")
+    got = dealt.mapInArrow(_block_best(key, k), f"query {of}, {key} {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
+
+
+def recall_of(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """One row, recall: the share of the exact neighbours (query, key) that a search found."""
+    hit = exact.select("query", key).join(found.select("query", key, F.lit(1).alias("hit")), ["query", key], "left")
+    return hit.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def missing_vectors(records: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
     """Records that have no vector yet."""
     return records.join(vectors.select(key), key, "left_anti")

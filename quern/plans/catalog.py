@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_graph, catalog_lifecycle, catalog_memory, catalog_relational, catalog_text, catalog_vectors  # noqa: F401
+from . import catalog_graph, catalog_lifecycle, catalog_memory, catalog_records, catalog_relational, catalog_text, catalog_vectors  # noqa: F401
 from .registered import QUERIES, SQL
 
 

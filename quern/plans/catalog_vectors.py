@@ -94,6 +94,29 @@ def _(t):
     return knn.missing_vectors(t.documents.select(F.col("doc_id").alias("id")), rows(t))
 
 
+@query("knn_cells")
+def _(t):
+    """Cells probed for every row whose id is divisible by 20; tests hold the recall beside the exact search."""
+    df = rows(t)
+    centres = knn.fit_cells(df, "vector")
+    index = knn.build_cells(df, "id", "vector", centres)
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    return knn.search_cells(index, "id", "vector", centres, asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "knn_cells_all",
+    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT qid, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings CROSS JOIN q)
+    SELECT qid AS query, id, round(score, 6) AS score, CAST(r - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""",
+)
+def _(t):
+    """All cells probed, which is exact."""
+    df = rows(t)
+    centres = knn.fit_cells(df, "vector", 16)
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    return knn.search_cells(knn.build_cells(df, "id", "vector", centres), "id", "vector", centres, asked, 10, 16).withColumn("score", F.round("score", 6))
+
+
 @query("finite_check", "SELECT count(*) AS good FROM embeddings WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: NOT isfinite(x)))")
 def _(t):
     return rows(t).where((F.size("vector") == 64) & vectors.is_finite(F.col("vector"))).agg(F.count(F.lit(1)).alias("good"))

@@ -28,3 +28,13 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by a key in as many buckets as shuffles have partitions."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -365,3 +365,74 @@ def test_failure_clusters_are_those_of_one_after_the_other(spark):
     assert got == want and 1 < len(seeds) < len(texts)
     top = memory.distilled_failures(df, "2024-02-01 00:00:00").collect()
     assert top and all(r["fix"] == "try again" and r["frequency"] >= 2 for r in top)
+
+
+def test_budget_beside_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(20)), None if i % 50 == 7 else "x" * rng.choice([0, 1, 3, 4, 9, 40, 90])) for i in range(400)]
+    used, want = 0, []
+    for i, _, said in sorted(rows, key=lambda r: (-r[1], r[0])):
+        n = None if said is None else -(-len(said) // 4)
+        if n is not None and used + n <= 57:
+            used += n
+            want.append(i)
+    df = spark.createDataFrame(rows, "id int, score double, text string")
+    assert sorted(r["id"] for r in fusion.within_budget(df, "text", 57).collect()) == sorted(want)
+    assert fusion.within_budget(df.limit(0), "text", 57).count() == 0
+
+
+def test_repeats_beside_one_by_one(spark):
+    from quern.streaming import changes
+
+    rng = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["a", "b", None]) if i % 3 else "hot", t0 + dt.timedelta(seconds=rng.randrange(20_000)) if i % 40 else None) for i in range(900)]
+    want, last = {i for i, _, ts in rows if ts is None}, {}
+    for i, k, ts in sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[0])):
+        if k not in last or (ts - last[k]).total_seconds() >= 300:
+            last[k] = ts
+            want.add(i)
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz")
+    assert {r["id"] for r in changes.repeats_dropped(df, ["k"], "ts", "id").collect()} == want
+    assert changes.repeats_dropped(df.limit(0), ["k"], "ts", "id").count() == 0
+
+
+def test_phrases_beside_one_by_one(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(6), None if i == 4 else " ".join(rng.choice("abcd") for _ in range(rng.randrange(8)))) for i in range(60)]
+    seen: dict = {}
+    for s, said in rows:
+        ws = (said or "").split()
+        for i in range(len(ws) - 2):
+            seen.setdefault(" ".join(ws[i : i + 3]), set()).add(s)
+    df = spark.createDataFrame(rows, "s int, t string")
+    assert {(r["phrase"], r["sessions"]) for r in memory.phrases(df, "s", "t").collect()} == {(p, len(x)) for p, x in seen.items() if len(x) > 1}
+
+
+def test_cells(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(30, 16)).repeat(40, axis=0) + 0.3 * rng.normal(size=(1200, 16))
+    rows = [(i, [float(x) for x in v] if i % 100 else None) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id int, vector array<float>")
+    asked = df.where("id % 20 = 1").select(F.col("id").alias("query"), "vector")
+    centres = knn.fit_cells(df, "vector", 32, sample=500)
+    index = knn.build_cells(df, "id", "vector", centres)
+    assert index.count() == 1188 and index.where("cell IS NULL").count() == 0
+    exact = knn.search_set(df, "id", "vector", asked, 10)
+    assert knn.recall_of(knn.search_cells(index, "id", "vector", centres, asked, 10, 6, block=8), exact, "id").first()["recall"] >= 0.9
+    assert knn.recall_of(knn.search_cells(index, "id", "vector", centres, asked, 10, len(centres)), exact, "id").first()["recall"] == 1
+    assert knn.search_cells(index, "id", "vector", knn.fit_cells(df.limit(0), "vector"), asked, 10).count() == 0
+
+
+def test_beliefs_beside_all_pairs(spark):
+    rng = random.Random(11)
+    some = lambda: " ".join(rng.choice(["orders", "often", "later", "never", "ports", "a", "of", "ship", "rates", "trade"]) for _ in range(rng.randrange(1, 8)))
+    obs, bel = [(i, some()) for i in range(40)], [(i, some(), 0.5) for i in range(30)]
+    want = set()
+    for i, x in obs:
+        for j, y, _ in bel:
+            a, b = set(x.split()), set(y.split())
+            if any(len(w) >= 5 for w in a & b) and len(a & b) / len(a | b) >= 0.3:
+                want.add((i, j))
+    got = memory.revise_beliefs(spark.createDataFrame(obs, "id int, text string"), spark.createDataFrame(bel, "id int, statement string, confidence double"))
+    assert sorted((r["observation"], r["belief"]) for r in got.collect()) == sorted(want)
