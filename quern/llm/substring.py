@@ -7,11 +7,12 @@ same words on both sides are one group, represented by its first document. Repre
 compared word by word in both directions, and the longest extension that an earlier document has is kept. Extensions of
 neighbouring anchors overlap, and together are the maximal repeats of 13 words and more.
 
-Anchors that more than 64 documents have are not compared pair by pair: the representatives' extensions of 13 words are
-grouped by their words instead, which gives the same, and grows with their number alone. Anchors are 64-bit hashes and only
-bring documents together; groups and extensions are compared by 128 bits of SHA-256, single words by 64-bit hashes of their
-own. Nothing holds an unbounded group in memory: groups are partial aggregates, and joins deal the rows of a frequent key
-to several tasks.
+The surroundings of an anchor travel once, as hashes of their words, to the task that groups and compares all of them. Anchors
+with more than 64 occurrences, in one document or in many, are not compared pair by pair: their occurrences are grouped by a
+digest first, and the representatives' extensions of 13 words are grouped by their words, which gives the same, and grows with
+their number alone. Anchors are 64-bit hashes and only bring documents together; words are compared by 64-bit hashes of
+their own (an anchor's five by one hash more), and digests are 128 bits of SHA-256. Nothing holds an unbounded group in
+memory: groups are bounded or partial aggregates, and joins deal the rows of a frequent key to several tasks.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import bounded_batches, discard, mix, release, slices, split_join,
 WINDOW = 13
 ANCHOR = 5
 REACH = WINDOW - ANCHOR
-MANY = 64  # documents of an anchor that are compared pair by pair
+MANY = 64  # occurrences of an anchor that are compared pair by pair
+WIDTH = 2 * REACH + 1  # the words around an anchor, and between them one hash of its own
 _C = np.uint64(0xD6E8FEB86659FD93)
+_ODD = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _gram(w: np.ndarray, k: int) -> np.ndarray:
@@ -59,20 +62,52 @@ def anchors_of(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, raw: np.nd
 
 
 def _seeds(batches):
-    """Each document's distinct anchors."""
+    """Each document's anchors, and their places among its words."""
     for batch in batches:
         raw, at = string_buffers(batch.column(2))
         for a, b in slices(at):
             own = raw[at[a] : at[b]]
             starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
             places, h = anchors_of(starts, ends, doc, own)
-            doc = doc[places]
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-            take = pa.array(doc[new] + a)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["h", "doc_id", "mark"])
+            take = pa.array(doc[places] + a)
+            inside = places - np.searchsorted(doc, np.arange(b - a))[doc[places]]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(inside.astype(np.int32))], ["h", "doc_id", "mark", "place"])
+
+
+def _located(batches):
+    """For rows (doc_id, mark, text, hs), a slice of the documents at a time: the bytes, the words' starts and ends, and of each
+    anchor in hs the row, the hash, the place among those words, and where its document's words begin and end."""
+    for batch in batches:
+        raw, at = string_buffers(batch.column(2))
+        lists = batch.column(3)
+        where, (h, inside) = lists.offsets.to_numpy(), (lists.values.field(k).to_numpy() for k in range(2))
+        for a, b in slices(at, 1 << 20):
+            own = raw[at[a] : at[b]]
+            starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
+            of = np.repeat(np.arange(b - a), np.diff(where[a : b + 1]))
+            if not len(of):
+                continue
+            first, last = (np.searchsorted(doc, np.arange(b - a), side)[of] for side in ("left", "right"))
+            k = slice(where[a], where[b])
+            yield batch, own, starts, ends, of + a, h[k], first + inside[k], first, last
+
+
+def _surroundings(batches):
+    """Occurrences of anchors with the hashes of the words from 8 before to 8 after, 0 where the text begins or ends."""
+    names, steps = ["h", "doc_id", "mark", "place", "around"], np.concatenate((np.arange(-REACH, 1), np.arange(ANCHOR, ANCHOR + REACH)))
+    for batch, own, starts, ends, of, h, places, first, last in _located(batches):
+        w = word_hashes(own, starts, ends) | np.uint64(1)
+        for i in range(0, len(places), 20_000):
+            k = slice(i, i + 20_000)
+            p = places[k]
+            at = p[:, None] + steps
+            there = (at >= first[k][:, None]) & (at < last[k][:, None])
+            grid = np.where(there, w[np.clip(at, 0, len(w) - 1)], np.uint64(0))
+            for j in range(1, ANCHOR):
+                grid[:, REACH] = mix(grid[:, REACH] * _C ^ w[p + j])
+            rows = pa.array(of[k])
+            around = pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.arange(0, 8 * WIDTH * len(p) + 1, 8 * WIDTH, dtype=np.int32)), pa.py_buffer(grid)])
+            yield pa.RecordBatch.from_arrays([pa.array(h[k]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((p - first[k]).astype(np.int32)), around], names)
 
 
 def _strings(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -83,88 +118,77 @@ def _strings(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array
 
 
 def _extended(batches):
-    """Occurrences of shared anchors, for rows (doc_id, mark, text, hs): the words from 8 before an anchor to 8 after it.
+    """Occurrences of anchors with the words from 8 before to 8 after, for rows (doc_id, mark, text, hs).
 
     before is the number of words before the anchor, n of all, start the first one's place in the text.
     """
-    names = ["doc_id", "mark", "h", "many", "start", "before", "n", "words"]
-    for batch in batches:
-        raw, at = string_buffers(batch.column(2))
-        lists = batch.column(3)
-        where, (shared, many) = lists.offsets.to_numpy(), (lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-        shared = shared.view(np.uint64)
-        for a, b in slices(at, 1 << 20):
-            own = raw[at[a] : at[b]]
-            starts, ends, doc = word_spans(own, at[a : b + 1] - at[a])
-            places, h = anchors_of(starts, ends, doc, own)
-            of = np.repeat(np.arange(b - a), np.diff(where[a : b + 1])).astype(np.uint64)
-            wanted, own_keys = mix(shared[where[a] : where[b]] + of * _C), mix(h + doc[places].astype(np.uint64) * _C)
-            order = np.argsort(wanted)
-            if not len(order) or not len(places):
-                continue
-            k = order[np.minimum(np.searchsorted(wanted, own_keys, sorter=order), len(order) - 1)]
-            there = wanted[k] == own_keys
-            places, h, frequent = places[there], h[there], many[where[a] : where[b]][k[there]]
-            if not len(places):
-                continue
-            sizes = ends - starts
-            to = np.cumsum(sizes + 1) - sizes - 1  # where each word stands when all are joined by one blank
-            joined = np.full(int(to[-1] + sizes[-1]), 32, np.uint8)
-            letters = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            joined[letters + np.repeat(to - starts, sizes)] = own[letters]
-            first, last = np.searchsorted(doc, doc[places]), np.searchsorted(doc, doc[places], "right")
-            lo, hi = np.maximum(first, places - REACH), np.minimum(last, places + ANCHOR + REACH)
-            take = pa.array(doc[places] + a)
-            for i in range(0, len(places), 20_000):
-                k = slice(i, i + 20_000)
-                words = _strings(joined, to[lo[k]], to[hi[k] - 1] + sizes[hi[k] - 1] - to[lo[k]])
-                ints = [pa.array(x.astype(np.int32)) for x in (lo[k] - first[k], places[k] - lo[k], hi[k] - lo[k])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take[k]), batch.column(1).take(take[k]), pa.array(h[k].view(np.int64)), pa.array(frequent[k]), *ints, words], names)
+    names = ["doc_id", "mark", "start", "before", "n", "words"]
+    for batch, own, starts, ends, of, _, places, first, last in _located(batches):
+        sizes = ends - starts
+        to = np.cumsum(sizes + 1) - sizes - 1  # where each word stands when all are joined by one blank
+        joined = np.full(int(to[-1] + sizes[-1]), 32, np.uint8)
+        letters = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        joined[letters + np.repeat(to - starts, sizes)] = own[letters]
+        lo, hi = np.maximum(first, places - REACH), np.minimum(last, places + ANCHOR + REACH)
+        for i in range(0, len(places), 20_000):
+            k = slice(i, i + 20_000)
+            rows = pa.array(of[k])
+            words = _strings(joined, to[lo[k]], to[hi[k] - 1] + sizes[hi[k] - 1] - to[lo[k]])
+            ints = [pa.array(x.astype(np.int32)) for x in (lo[k] - first[k], places[k] - lo[k], hi[k] - lo[k])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *ints, words], names)
+
+
+def _stretches(h, doc, mark, place, grid):
+    """Of whole runs of occurrences of anchors: the stretch of words (a, b) around each that an earlier document has."""
+    around = mix((grid * _ODD).sum(axis=1, dtype=np.uint64))
+    order = np.lexsort((doc, around, h))
+    h, doc, mark, place, grid, around = (x[order] for x in (h, doc, mark, place, grid, around))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (grid[1:] != grid[:-1]).any(axis=1)
+    group, rep = np.cumsum(new) - 1, np.flatnonzero(new)
+    whole = doc > doc[rep][group]
+    by_first = np.lexsort((doc[rep], h[rep]))
+    key, first, words = h[rep][by_first], doc[rep][by_first], grid[rep][by_first]
+    before, after = np.full(len(rep), -1), np.full(len(rep), -1)
+    at, step = np.arange(len(rep)), 1
+    while len(at := at[at + step < len(rep)]) and len(at := at[key[at] == key[at + step]]):
+        i = at[first[at] < first[at + step]]
+        i = i[words[i, REACH] == words[i + step, REACH]]
+        same = (words[i] == words[i + step]) & (words[i] != 0)
+        left = np.cumprod(same[:, REACH - 1 :: -1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+        right = np.cumprod(same[:, REACH + 1 :], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+        long_ = left + right >= REACH
+        i, left, right = i[long_] + step, left[long_], right[long_]
+        before[i] = np.maximum(before[i], left)
+        after[i] = np.maximum(after[i], right)
+        step += 1
+    left, right = np.empty_like(before), np.empty_like(after)
+    left[by_first], right[by_first] = before, after
+    left = np.where(whole, (grid[:, :REACH] != 0).sum(axis=1), left[group])
+    right = np.where(whole, (grid[:, REACH + 1 :] != 0).sum(axis=1), right[group])
+    own = np.flatnonzero(left >= 0)
+    ints = [pa.array(x[own].astype(np.int32)) for x in (mark, place - left, place + ANCHOR + right)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[own]), *ints], ["doc_id", "mark", "a", "b"])
 
 
 def _compared(batches):
-    """Rows (h, first, before, words, key) by h, first: for each key the stretch (lo, hi) of its words that an earlier document has.
-
-    Each is compared with those after it in its run; a run has the contexts of MANY documents at most.
-    """
-    width, names = 2 * REACH + ANCHOR, ["key", "lo", "hi"]
-    held = None
-
-    def give(h, first, before, key, grid):
-        lo, hi = np.full(len(h), width), np.zeros(len(h), np.int64)
-        at = np.arange(len(h))
-        step = 1
-        while len(at := at[at + step < len(h)]) and len(at := at[h[at] == h[at + step]]):
-            i = at[first[at] < first[at + step]]
-            same = (grid[i] == grid[i + step]) & (grid[i] != 0)
-            left = np.cumprod(same[:, REACH - 1 :: -1], axis=1).sum(axis=1)
-            right = np.cumprod(same[:, REACH + ANCHOR :], axis=1).sum(axis=1)
-            long_ = same[:, REACH : REACH + ANCHOR].all(axis=1) & (left + right >= REACH)
-            i, left, right = i[long_] + step, left[long_], right[long_]
-            lo[i] = np.minimum(lo[i], before[i] - left)
-            hi[i] = np.maximum(hi[i], before[i] + ANCHOR + right)
-            step += 1
-        own = np.flatnonzero(hi)
-        return pa.RecordBatch.from_arrays([pa.array(key[own], pa.binary()), pa.array(lo[own], pa.int32()), pa.array(hi[own], pa.int32())], names)
-
+    """Stretches (doc_id, mark, a, b) from rows (h, doc_id, mark, place, around) by h; a run has MANY rows at most."""
+    held, n = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, first, before = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        raw, at = string_buffers(batch.column(3))
-        starts, ends, row = word_spans(raw, at)
-        grid = np.zeros((len(h), width), np.uint64)  # each word at its distance from the anchor; 0 where the text begins or ends
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        grid[row, REACH - before[row] + nth] = word_hashes(raw, starts, ends) | np.uint64(1)
-        now = [h, first, before.astype(np.int64), np.array(batch.column(4).to_pylist(), object), grid]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]  # noqa: B905
-        last = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        raw, _ = string_buffers(batch.column(4))
+        held.append([*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), raw.view(np.uint64).reshape(-1, WIDTH)])
+        n += batch.num_rows
+        if n < 1 << 16:
+            continue
+        now = [np.concatenate(x) for x in zip(*held)]  # noqa: B905
+        last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
         if last:
-            yield give(*(x[:last] for x in now))
-        held = [x[last:] for x in now]
-    if held is not None:
-        yield give(*held)
+            yield _stretches(*(x[:last] for x in now))
+        held, n = [[x[last:] for x in now]], len(now[0]) - last
+    if held:
+        yield _stretches(*(np.concatenate(x) for x in zip(*held)))  # noqa: B905
 
 
 def _strip(batches):
@@ -218,13 +242,15 @@ def _later_copies(known: DataFrame) -> DataFrame:
 
 
 def _shared_seeds(known: DataFrame) -> DataFrame:
-    """doc_id, mark, hs: the anchors of each row that a row with another doc_id has too, and whether many have."""
-    seeds = written(known.select("doc_id", "mark", "text").mapInArrow(_seeds, "h long, doc_id long, mark int"), "seeds")
-    shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n", (F.col("n") > MANY).alias("many"))
+    """doc_id, mark, few, many: the anchors of each row, and their places, that a row with another doc_id has too; many: with many occurrences."""
+    seeds = written(known.select("doc_id", "mark", "text").mapInArrow(_seeds, "h long, doc_id long, mark int, place int"), "seeds")
+    shared = seeds.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n", (F.col("n") > MANY).alias("frequent"))
     shared = written(shared, "shared")
     release(known.sparkSession)
-    both = split_join(seeds, shared, ["h"], "n", "doc_id")
-    lists = written(both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "many")).alias("hs")), "anchors")
+    both = split_join(seeds, shared, ["h"], "n", "doc_id", "place")
+    seed = F.struct("h", "place")
+    lists = both.groupBy("doc_id", "mark").agg(F.collect_list(F.when(~F.col("frequent"), seed)).alias("few"), F.collect_list(F.when(F.col("frequent"), seed)).alias("many"))
+    lists = written(lists, "anchors")
     discard(seeds, shared)
     return lists
 
@@ -233,34 +259,50 @@ def _digest(words: Column) -> Column:
     return F.substring(F.unhex(F.sha2(words, 256)), 1, 16)
 
 
-def _repeats(known: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id, mark, spans: stretches of words (start, end) around anchors that an earlier document has."""
-    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs").mapInArrow(_extended, "doc_id long, mark int, h long, many boolean, start int, before int, n int, words string")
+def _with_anchors(rows: DataFrame, shared: DataFrame, which: str) -> DataFrame:
+    found = shared.where(F.size(which) > 0).select("doc_id", "mark", F.col(which).alias("hs"))
+    return rows.join(found.hint("shuffle_hash"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "hs")
+
+
+def _few(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, mark, a, b: stretches around anchors of few occurrences."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _with_anchors(rows, shared, "few").mapInArrow(_surroundings, "h long, doc_id long, mark int, place int, around binary")
+    few = written(found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_compared, "doc_id long, mark int, a int, b int"), "few")
+    release(rows.sparkSession)
+    return few
+
+
+def _many(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, mark, a, b: stretches around anchors of many occurrences."""
+    found = _with_anchors(rows, shared, "many").mapInArrow(_extended, "doc_id long, mark int, start int, before int, n int, words string")
     found = written(found.withColumn("key", _digest(F.concat_ws(" ", "before", "words"))), "extended")
-    release(known.sparkSession)
-    one = lambda *names: (F.first(x).alias(x) for x in names)  # noqa: E731  equal in all of a group
-    groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), *one("h", "many", "before", "words")), "groups")
-    release(known.sparkSession)
-    few = groups.where("NOT many").select("h", "first", "before", "words", "key").repartition(n, "h").sortWithinPartitions("h", "first")
-    few = written(few.mapInArrow(_compared, "key binary, lo int, hi int"), "few")
-    release(known.sparkSession)
+    release(rows.sparkSession)
+    groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("words").alias("words")), "groups")  # words are equal in all of a group
     word = F.split("words", " ")
     each = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(word, i, WINDOW)))
-    parts = groups.where("many").select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
+    parts = groups.select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
     parts = written(parts, "parts")
     least = parts.groupBy("part").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("part", "least", "n")
     least = written(least, "least")
     late = split_join(parts, least, ["part"], "n", "key").where("least < first")
     late = late.groupBy("key").agg(F.min("place").alias("lo"), (F.max("place") + WINDOW).alias("hi"))  # all parts hold the anchor, so late ones join
-    verdicts = written(groups.select("key", "first", "rows").join(few.unionByName(late), "key", "left").where("rows > 1 OR lo IS NOT NULL"), "verdicts")
-    discard(groups, few, parts, least)
-    release(known.sparkSession)
+    verdicts = written(groups.select("key", "first", "rows").join(late, "key", "left").where("rows > 1 OR lo IS NOT NULL"), "verdicts")
+    discard(groups, parts, least)
+    release(rows.sparkSession)
     own = split_join(found.select("doc_id", "mark", "start", "n", "key"), verdicts, ["key"], "rows", "doc_id", "start")
     whole = F.col("doc_id") > F.col("first")
-    ends = own.where(whole | F.col("lo").isNotNull()).select("doc_id", "mark", F.struct((F.col("start") + F.when(whole, 0).otherwise(F.col("lo"))).alias("a"), (F.col("start") + F.when(whole, F.col("n")).otherwise(F.col("hi"))).alias("b")).alias("span"))
-    spans = written(ends.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")), "repeats")
+    ends = own.where(whole | F.col("lo").isNotNull()).select("doc_id", "mark", (F.col("start") + F.when(whole, 0).otherwise(F.col("lo"))).alias("a"), (F.col("start") + F.when(whole, F.col("n")).otherwise(F.col("hi"))).alias("b"))
+    many = written(ends, "many")
     discard(found, verdicts)
+    return many
+
+
+def _repeats(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, mark, spans: stretches of words (start, end) around anchors that an earlier document has."""
+    few, many = _few(rows, shared), _many(rows, shared)
+    spans = written(few.unionByName(many).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    discard(few, many)
     return spans
 
 
@@ -277,13 +319,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = _dealt(docs)
     copies = _later_copies(rows.where("doc_id IS NOT NULL"))
     release(spark)
-    known = rows.where("doc_id IS NOT NULL").join(copies, ["doc_id", "mark"], "left_anti")
+    known = rows.where("doc_id IS NOT NULL").join(copies.hint("shuffle_hash"), ["doc_id", "mark"], "left_anti")
     shared = _shared_seeds(known)
     release(spark)
-    spans = _repeats(known, shared)
+    spans = _repeats(rows, shared)
     discard(shared)
     release(spark)
-    both = rows.join(spans, ["doc_id", "mark"], "left").join(copies, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    both = rows.join(spans.hint("shuffle_hash"), ["doc_id", "mark"], "left").join(copies.hint("shuffle_hash"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     return both.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

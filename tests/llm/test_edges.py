@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -121,6 +122,22 @@ def test_substring_by_brute_force(docs, monkeypatch, many):
     assert got == want
 
 
+def test_substring_anchor_repeated_in_few_documents(spark):
+    """A phrase that is an anchor, as its hash is small, and that two documents repeat thousands of times in other surroundings, makes no run of pairs of all its occurrences."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**6)} {rng.randrange(10**6)} {rng.randrange(10**6)} once they been it said" for _ in range(4000)) for _ in range(2)]
+    texts[1] = f"{texts[1]} {texts[0][:300]}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = substring._shared_seeds(substring._dealt(docs))
+    most = lambda which: lists.select(F.explode(which).alias("s")).groupBy("s.h").count().agg(F.max("count")).first()[0] or 0
+    assert most("few") <= substring.MANY < most("many")
+    first, words = {tuple(w[k : k + 13]) for w in [texts[0].split()] for k in range(len(w) - 12)}, texts[1].split()
+    gone = {j for k in range(len(words) - 12) if tuple(words[k : k + 13]) in first for j in range(k, k + 13)}
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring.remove_repeats(docs).collect()}
+    assert gone
+    assert got == {0: (0, " ".join(texts[0].split())), 1: (len(gone), " ".join(w for j, w in enumerate(words) if j not in gone))}
+
+
 PAGES = [(1, "http://a/", "x" * 2000), (2, "http://b/", "x" * 2000), (None, None, "x" * 2000), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u\r\nX: y", "é😀" * 40_000), (8, "u", "a\r\n0\r\n\r\nWARC/1.1\r\n" * 100), (2, "http://b/", "x" * 2000)]
 
 
