@@ -11,7 +11,7 @@ The surroundings of an anchor travel once, as hashes of their words, to the task
 with more than 64 occurrences, in one document or in many, are not compared pair by pair: their occurrences are grouped by a
 digest first, and the representatives' extensions of 13 words are grouped by their words, which gives the same, and grows with
 their number alone. Anchors are 64-bit hashes and only bring documents together; words are compared by 64-bit hashes of
-their own (an anchor's five by one hash more), and digests are 128 bits of SHA-256. Nothing holds an unbounded group in
+their own (an anchor's five by one hash more), digests are 128 bits of SHA-256, and windows have 128 bits made of word hashes. Nothing holds an unbounded group in
 memory: groups are bounded or partial aggregates, and joins deal the rows of a frequent key to several tasks.
 """
 
@@ -191,6 +191,22 @@ def _compared(batches):
         yield _stretches(*(np.concatenate(x) for x in zip(*held)))  # noqa: B905
 
 
+def _windows(batches):
+    """The windows of 13 words of rows (key, first, words): their place, and 128 bits made of their words' hashes."""
+    for batch in batches:
+        raw, at = string_buffers(batch.column(2))
+        starts, ends, row = word_spans(raw, at)
+        n = len(starts) - WINDOW + 1
+        if n < 1:
+            continue
+        w = word_hashes(raw, starts, ends)
+        i = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
+        both = np.stack([_gram(w, WINDOW)[i], _gram(mix(w ^ _C), WINDOW)[i]], axis=1)
+        take = pa.array(row[i])
+        part = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(np.arange(0, 16 * len(i) + 1, 16, dtype=np.int32)), pa.py_buffer(both)])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((i - np.searchsorted(row, row[i])).astype(np.int32)), part], ["key", "first", "place", "part"])
+
+
 def _strip(batches):
     """n_words, n_removed and the kept words for each row (doc_id, text, spans, copy)."""
     for batch in batches:
@@ -279,9 +295,7 @@ def _many(rows: DataFrame, shared: DataFrame) -> DataFrame:
     found = written(found.withColumn("key", _digest(F.concat_ws(" ", "before", "words"))), "extended")
     release(rows.sparkSession)
     groups = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("words").alias("words")), "groups")  # words are equal in all of a group
-    word = F.split("words", " ")
-    each = F.transform(F.sequence(F.lit(1), F.size(word) - WINDOW + 1), lambda i: F.concat_ws(" ", F.slice(word, i, WINDOW)))
-    parts = groups.select("key", "first", F.posexplode(each).alias("place", "part")).select("key", "first", "place", _digest(F.col("part")).alias("part"))
+    parts = groups.select("key", "first", "words").mapInArrow(_windows, "key binary, first long, place int, part binary")
     parts = written(parts, "parts")
     least = parts.groupBy("part").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("part", "least", "n")
     least = written(least, "least")
