@@ -436,3 +436,15 @@ def test_beliefs_beside_all_pairs(spark):
                 want.add((i, j))
     got = memory.revise_beliefs(spark.createDataFrame(obs, "id int, text string"), spark.createDataFrame(bel, "id int, statement string, confidence double"))
     assert sorted((r["observation"], r["belief"]) for r in got.collect()) == sorted(want)
+
+
+def test_recall_by_label_beside_sql(spark, tmp_path):
+    """Relevant rows are counted by label, also where a label is missing or a query's own; they were pairs of all queries and rows of a label."""
+    from quern.plans import catalog
+    from tests.oracle import difference
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v], None if i in (20, 33, 60) else i % 2 if i != 80 else 7) for i, v in enumerate(rng.normal(size=(150, 64)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    assert not difference(catalog.queries()["eval_recall_at_k"](spark, str(tmp_path)), str(tmp_path), catalog.oracle_sql()["eval_recall_at_k"])
