@@ -6,6 +6,8 @@ search moves k rows a batch. A join compares tiles of vectors, in memory of two
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from ..functions.vectors import as_matrix, cosine, encode_int8, hamming, hashed_
 from ..shared import new_path
 
 TILE = 2048
+BLOCK = 16_384  # queries that a task holds with their best rows
 
 
 def _batch_top(key: str, queries: np.ndarray, k: int | None, least: float | None):
@@ -58,71 +61,149 @@ def search(df: DataFrame, key: str, vector: str, queries: list, k: int | None =
     return best.select("query", F.posexplode("top").alias("rank", "t")).select("query", F.col("t.k").alias(key), (-F.col("t.s")).alias("score"), "rank")
 
 
-def search_set(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+def search_set(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query, key, score, rank: the k nearest rows of each query (query, vector), ties by key; for query sets of any size.
 
-    Queries go in blocks, rows in as many groups as there are partitions; each block meets each group once, and a task
-    keeps the best k of a block while its rows stream by. Of these a window takes the best k, of each partition first.
     Null vectors are no rows and no queries. The work is that of all queries against all rows, as the search is exact.
     """
-    spark = df.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.where(F.col("vector").isNotNull()).select("query", F.col("vector").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    kind, of = df.schema[key].dataType, queries.schema["query"].dataType
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = asked.select(spread("query", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v")
-    rows = df.where(F.col(vector).isNotNull()).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), spread(key, groups).alias("part"), F.lit(1).alias("side"), F.lit(None).cast(of).alias("q"), F.col(key).alias("k"), F.col(vector).alias("v"))
-    dealt = left.unionByName(rows).repartition(groups, "block", "part").sortWithinPartitions("block", "part", "side")
-    got = dealt.mapInArrow(_block_best(key, k), f"query {of.simpleString()}, {key} {kind.simpleString()}, score double")
+    none = F.lit(0).alias("cell")
+    asked = queries.where(F.col("vector").isNotNull()).select(none, "query", F.col("vector").alias("v"))
+    rows = df.where(F.col(vector).isNotNull()).select(none, key, F.col(vector).alias("v"))
+    return best_pairs(asked, rows, key, k, [(asked.count(), rows.count())], block)
+
+
+def _grid(queries: int, rows: int, units: float, block: int) -> tuple[int, int]:
+    """Into how many blocks the queries and slices the rows of a cell go: about `units` tasks that move least together.
+
+    A query goes to each slice and brings k rows back, about twice what a row takes, which goes to each block.
+    """
+    blocks = max(1, -(-queries // block), min(round(math.sqrt(2 * units * queries / max(rows, 1))), -(-queries // 256)))
+    return blocks, max(1, min(math.ceil(units / blocks), -(-rows // 1024)))
+
+
+def best_pairs(asked: DataFrame, rows: DataFrame, key: str, k: int, sizes: list[tuple[int, int]], block: int = BLOCK, least: float = -math.inf, more: tuple[str, ...] = (), allowed=None) -> DataFrame:
+    """query, key, score, rank: of each query (cell, query, v, more) the best k rows (cell, key, v, more) of its cells, ties by key.
+
+    sizes: the queries and rows of each cell, by its number. The queries of a cell go in blocks of about `block` at most, its rows
+    in slices; each block meets each slice once, in a task that holds the block and its best k while rows stream by. How
+    many there are goes by the work of a cell, not by the number of partitions alone: two tasks a partition, so what is
+    moved grows with the input until blocks are full. least and allowed say which pairs count at all: allowed gets keys
+    and `more` columns, as (values, valid) pairs, of both sides of pairs.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = sum(q * r for q, r in sizes) or 1
+    grid = [_grid(q, r, 2 * n * q * r / work, block) for q, r in sizes]
+    first = np.cumsum([0] + [b * s for b, s in grid])
+    of = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.col("cell"))
+    blocks, slices, start = of(b for b, _ in grid), of(s for _, s in grid), of(first[:-1])
+    kind, by = rows.schema[key].dataType, asked.schema["query"].dataType
+    spread = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), m - 1)).alias("_to")
+    left = asked.select("*", each(slices)).select((start + spread("query", blocks) * slices + F.col("_to")).alias("unit"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v", *more)
+    right = rows.select("*", each(blocks)).select((start + F.col("_to") * slices + spread(key, slices)).alias("unit"), F.lit(1).alias("side"), F.lit(None).cast(by).alias("q"), F.col(key).alias("k"), F.col("v").cast(asked.schema["v"].dataType).alias("v"), *more)
+    dealt = left.unionByName(right).repartitionById(n, F.col("unit") % n).sortWithinPartitions("unit", "side")
+    got = dealt.mapInArrow(_block_best(key, k, least, allowed), f"query {by.simpleString()}, {key} {kind.simpleString()}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
     return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
 
 
-def _block_best(key: str, k: int):
-    """The best k rows of each query, of batches (block, part, side, q, k, v) sorted by these: queries first, rows after them."""
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values, whole numbers as such, and which of them are there."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return (column.fill_null(0) if pa.types.is_integer(column.type) else column).to_numpy(zero_copy_only=False), valid
 
-    def run(batches):
-        now, unit, ids, best, kinds = None, [], [], None, []
 
-        def close():
-            if best is not None:
-                q = np.repeat(np.arange(len(best)), [len(b[0]) for b in best])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[0]), pa.array(np.concatenate([b[1] for b in best]), kinds[1]), pa.array(np.concatenate([b[0] for b in best]))], ["query", key, "score"])
+class _Best:
+    """The best k rows of each query of a block, fed with rows bit by bit.
+
+    Products in single precision find the rows that may be among them; only these are scored in double precision, each
+    pair by itself, so equal vectors have equal scores wherever they stand and ties go by key.
+    """
+
+    STEP = 2048  # queries and rows of a product
+    PIECE = 65_536  # pairs scored at once
+
+    def __init__(self, parts: list[tuple], k: int, least: float, allowed):
+        self.ids = pa.concat_arrays([p[0] for p in parts])
+        self.unit = np.concatenate([p[1] for p in parts])
+        self.more = [tuple(np.concatenate(x) for x in zip(*c, strict=True)) for c in zip(*(p[2] for p in parts), strict=True)]
+        self.own = self.ids.to_numpy(zero_copy_only=False)
+        self.single = self.unit.astype(np.float32)
+        self.k, self.least, self.allowed = k, least, allowed
+        self.score = np.full((len(self.unit), k), -np.inf)
+        self.names = None
+
+    def feed(self, m: np.ndarray, names: np.ndarray, more: list[tuple]) -> None:
+        if self.names is None:
+            self.names = np.full(self.score.shape, names[0], names.dtype)
+        single, slack = m.astype(np.float32), 1.2e-7 * (m.shape[1] + 16)  # more than a product in single precision can be off
+        for a in range(0, len(self.unit), self.STEP):
+            for b in range(0, len(m), self.STEP):
+                s = self.single[a : a + self.STEP] @ single[b : b + self.STEP].T
+                edge = np.maximum(self.score[a : a + self.STEP, -1], self.least) - slack
+                if self.allowed is None and s.shape[1] > self.k and np.isneginf(self.score[a : a + self.STEP, -1]).any():
+                    edge = np.maximum(edge, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - 2 * slack)
+                x, y = np.divmod(np.flatnonzero(s >= edge.astype(np.float32)[:, None]), s.shape[1])
+                x, y = x + a, y + b
+                if self.allowed is not None:
+                    keep = self.allowed(self.own[x], [(v[x], w[x]) for v, w in self.more], names[y], [(v[y], w[y]) for v, w in more])
+                    x, y = x[keep], y[keep]
+                if len(x):
+                    self._merge(x, np.concatenate([(self.unit[x[i : i + self.PIECE]] * m[y[i : i + self.PIECE]]).sum(1) for i in range(0, len(x), self.PIECE)]), names[y])
+
+    def _merge(self, x: np.ndarray, score: np.ndarray, names: np.ndarray) -> None:
+        keep = score >= np.maximum(self.score[x, -1], self.least)
+        x, score, names = x[keep], score[keep], names[keep]
+        if not len(x):
+            return
+        u = np.unique(x)
+        at, score, names = np.concatenate([np.repeat(u, self.k), x]), np.concatenate([self.score[u].ravel(), score]), np.concatenate([self.names[u].ravel(), names])
+        order = np.lexsort((names, -score, at))
+        start = np.searchsorted(at[order], u)
+        order = order[(start[:, None] + np.arange(self.k)).ravel()]
+        self.score[u], self.names[u] = score[order].reshape(-1, self.k), names[order].reshape(-1, self.k)
+
+    def found(self, key: str, kind: pa.DataType):
+        if self.names is not None:
+            x, y = np.nonzero(~np.isneginf(self.score))
+            for i in range(0, len(x), self.PIECE):
+                p, q = x[i : i + self.PIECE], y[i : i + self.PIECE]
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(p)), pa.array(self.names[p, q], kind), pa.array(self.score[p, q])], ["query", key, "score"])
+
+
+def _block_best(key: str, k: int, least: float = -math.inf, allowed=None):
+    """The best k rows of each query, of batches (unit, side, q, k, v, more) sorted by unit and side: queries first, rows after them."""
 
+    def run(batches):
+        now, parts, best, kind = None, [], None, None
         for batch in batches:
-            kinds = batch.schema.types[3:5]
-            at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            kind = batch.schema.types[3]
+            at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
             cut = [0, *(np.flatnonzero(np.any(at[1:] != at[:-1], axis=1)) + 1).tolist(), len(at)]
             for a, b in zip(cut[:-1], cut[1:]):  # noqa: B905
                 if a == b:
                     continue
-                if now != tuple(at[a, :2]):
-                    yield from close()
-                    now, unit, ids, best = tuple(at[a, :2]), [], [], None
+                if now != at[a, 0]:
+                    if best is not None:
+                        yield from best.found(key, kind)
+                    now, parts, best = at[a, 0], [], None
                 part = batch.slice(a, b - a)
-                m = unit_rows(as_matrix(part.column(5)))
-                if at[a, 2] == 0:
-                    unit.append(m)
-                    ids += part.column(3).to_pylist()
-                elif ids:
-                    keys = part.column(4).to_numpy(zero_copy_only=False)
-                    sims = np.concatenate(unit) @ m.T
-                    best = best or [(np.zeros(0), keys[:0])] * len(ids)
-                    for i, s in enumerate(sims):
-                        s, names = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], keys])
-                        order = np.lexsort((names, -s))[:k] if len(s) <= 4 * k else _best(s, names, k)
-                        best[i] = (s[order], names[order])
-        yield from close()
+                m = unit_rows(as_matrix(part.column(4)))
+                more = [_values(c) for c in part.columns[5:]]
+                if at[a, 1] == 0:
+                    parts.append((part.column(2), m, more))
+                elif parts:
+                    best = best or _Best(parts, k, least, allowed)
+                    fine = np.isfinite(m).all(axis=1)
+                    if fine.any():
+                        best.feed(m[fine], part.column(3).to_numpy(zero_copy_only=False)[fine], [(v[fine], w[fine]) for v, w in more])
+        if best is not None:
+            yield from best.found(key, kind)
 
     return run
 
 
-def _best(s: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-    return at[np.lexsort((names[at], -s[at]))[:k]]
-
-
 def vector_of(df: DataFrame, key: str, vector: str, value: object) -> list[float]:
     """The vector of one row; KeyError where it has none."""
     row = df.where(F.col(key) == F.lit(value)).select(vector).first()
@@ -289,15 +370,14 @@ def build_cells(df: DataFrame, key: str, vector: str, centres: np.ndarray) -> Da
     return spark.read.schema(placed.schema).parquet(path)
 
 
-def search_cells(index: DataFrame, key: str, vector: str, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 32, block: int = 1024) -> DataFrame:
+def search_cells(index: DataFrame, key: str, vector: str, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 32, block: int = BLOCK) -> DataFrame:
     """query, key, score, rank: the k nearest of the rows in the `probes` cells nearest each query (query, vector); ties by key.
 
-    Each query goes to its cells and meets their rows there: a join on (cell, slice), in which a cell's rows are dealt
-    over slices, so a large cell is many tasks, and its queries over blocks of about `block`, each of which meets the
-    cell's rows once. As many probes as centres give the exact result.
+    Each query goes to its cells and meets their rows there, in the tasks of best_pairs: a large cell is many tasks, a
+    small one few. As many probes as centres give the exact result.
     """
     spark, of = index.sparkSession, queries.schema["query"].dataType.simpleString()
-    kind, n = index.schema[key].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = index.schema[key].dataType.simpleString()
     probes = min(probes, len(centres))
 
     def send(batches):
@@ -311,15 +391,10 @@ def search_cells(index: DataFrame, key: str, vector: str, centres: np.ndarray, q
         return spark.createDataFrame([], f"query {of}, {key} {kind}, score double, rank int")
     v = queries.schema["vector"].dataType.simpleString()
     asked = queries.where(F.col("vector").isNotNull()).select("query", "vector").mapInArrow(send, f"query {of}, v {v}, cell int")
-    blocks = max(1, -(-queries.count() * probes // (len(centres) * block)))
-    asked = asked.withColumn("block", F.col("cell") * blocks + F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    left = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v")
-    rows = index.join(asked.select("cell").distinct(), "cell", "left_semi")
-    right = rows.select(F.explode(F.sequence(F.col("cell") * blocks, F.col("cell") * blocks + (blocks - 1))).alias("block"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("part"), F.lit(1).alias("side"), F.lit(None).cast(of).alias("q"), F.col(key).alias("k"), F.col(vector).cast(v).alias("v"))
-    dealt = left.unionByName(right).repartition(n, "block", "part").sortWithinPartitions("block", "part", "side")
-    got = dealt.mapInArrow(_block_best(key, k), f"query {of}, {key} {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query", key, "score", (F.col("rank") - 1).alias("rank"))
+    asks, holds = (dict(df.groupBy("cell").count().collect()) for df in (asked, index))  # a row for each cell
+    sizes = [(asks.get(c, 0), holds.get(c, 0)) for c in range(len(centres))]
+    rows = index.where(F.col("cell").isin(sorted(asks))).select("cell", key, F.col(vector).alias("v"))
+    return best_pairs(asked.select("cell", "query", "v"), rows, key, k, sizes, block)
 
 
 def recall_of(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

@@ -448,3 +448,47 @@ def test_recall_by_label_beside_sql(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "made"))
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
     assert not difference(catalog.queries()["eval_recall_at_k"](spark, str(tmp_path)), str(tmp_path), catalog.oracle_sql()["eval_recall_at_k"])
+
+
+def test_search_sets_beside_all_pairs(spark):
+    """Blocks, slices and cells of every number give the exact best, with ties of equal vectors by key, and missing vectors left out."""
+    rng = np.random.default_rng(8)
+    m = np.concatenate([rng.normal(size=(150, 8)), np.tile(rng.normal(size=(30, 8)), (90, 1))])
+    m = m[rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, [float(x) for x in v] if i % 50 != 9 else None) for i, v in enumerate(m)], "id int, vector array<float>")
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    there = np.array([i for i in range(len(m)) if i % 50 != 9])
+    want = set()
+    for q in there[::7].tolist():
+        s = np.round((u[there] * u[q]).sum(1), 12)
+        want |= {(q, int(there[j]), r) for r, j in enumerate(np.lexsort((there, -s))[:5])}
+    asked = df.where(F.col("id").isin(there[::7].tolist()) | (F.col("id") == 9)).select(F.col("id").alias("query"), "vector")
+    centres = knn.fit_cells(df, "vector", 6)
+    index = knn.build_cells(df, "id", "vector", centres)
+    for block in (16, 16_384):
+        assert {(r["query"], r["id"], r["rank"]) for r in knn.search_set(df, "id", "vector", asked, 5, block).collect()} == want
+        assert {(r["query"], r["id"], r["rank"]) for r in knn.search_cells(index, "id", "vector", centres, asked, 5, 6, block).collect()} == want
+
+
+def test_search_moves_in_proportion(spark, monkeypatch):
+    """What a search of cells moves goes by queries, rows and their work; each query went to as many slices of each of its cells as there are partitions."""
+
+    def counted(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([float(n)])], ["query", "id", "score"])
+
+        return run
+
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(4000, 4)))], "id long, vector array<float>")
+    centres = knn.fit_cells(df, "vector", 8)
+    index = knn.build_cells(df, "id", "vector", centres)
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    monkeypatch.setattr(knn, "_block_best", counted)
+    monkeypatch.setattr(spark.conf, "get", lambda k, *d, f=spark.conf.get: "64" if k == "spark.sql.shuffle.partitions" else f(k, *d), raising=False)
+    moved = knn.search_cells(index, "id", "vector", centres, asked, 64, 4).agg(F.sum("score")).first()[0]
+    assert 4000 + 200 * 4 <= moved <= 2 * (4000 + 200 * 4)
