@@ -231,7 +231,7 @@ def _(t):
 def _(t):
     """Documents of low quality as reports of failures, with their source as the fix; the clusters are those of all of them."""
     stamp = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int")))
-    rows = t.documents.join(t.labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("error"), F.col("source").alias("fix"), stamp.alias("created_at"))
+    rows = t.documents.join(t.labels.where("quality = 0").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("error"), F.col("source").alias("fix"), stamp.alias("created_at"))
     return memory.distilled_failures(rows, NOW).select(F.sha2("error", 256).alias("error"), "frequency", F.round("impact", 6).alias("impact"), "fix")
 
 

@@ -492,3 +492,27 @@ def test_search_moves_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(spark.conf, "get", lambda k, *d, f=spark.conf.get: "64" if k == "spark.sql.shuffle.partitions" else f(k, *d), raising=False)
     moved = knn.search_cells(index, "id", "vector", centres, asked, 64, 4).agg(F.sum("score")).first()[0]
     assert 4000 + 200 * 4 <= moved <= 2 * (4000 + 200 * 4)
+
+
+def test_failure_clusters_of_many_prints(spark, monkeypatch):
+    """In batches of any size as one after the other, and no table of pairs is written, where hundreds of fingerprints are within reach of each other."""
+    from quern.functions import text as texts
+
+    rng = random.Random(12)
+    prints = [[0, 0x0F0F, -1, 1 << 40][i % 4] ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6))) for i in range(400)]
+    prints = [p - 2**64 if p >= 2**63 else p for p in (p % 2**64 for p in prints)]
+    monkeypatch.setattr(texts, "simhash", lambda c: F.get(F.array(*map(F.lit, prints)), F.length(c) - 1))
+    rows = [(i, "x" * (i + 1), dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 7) % 90) if i % 90 else None) for i in range(400)]
+    seeds, want = [], {}
+    for i, _, _ in sorted(rows, key=lambda r: (r[2] is not None, r[2] or dt.datetime.min, r[0])):
+        want[i] = next((s for s in seeds if ((s ^ prints[i]) % 2**64).bit_count() <= 8), None)
+        if want[i] is None:
+            seeds.append(prints[i])
+            want[i] = prints[i]
+    df = spark.createDataFrame(rows, "id long, error string, created_at timestamp_ntz")
+    written = []
+    monkeypatch.setattr(memory, "settled", lambda d, name="step", f=memory.settled: written.append(f(d, name)) or written[-1])
+    assert {r["id"]: r["seed"] for r in memory.failure_clusters(df).collect()} == want
+    assert 1 < len(seeds) < 200 and max(w.count() for w in written) <= 400
+    assert {r["id"]: r["seed"] for r in memory.failure_clusters(df, 8, 5).collect()} == want
+    assert memory.failure_clusters(df.limit(0)).count() == 0
