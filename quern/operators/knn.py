@@ -18,6 +18,7 @@ from ..shared import new_path
 
 TILE = 2048
 BLOCK = 16_384  # queries that a task holds with their best rows
+HELD = 250_000  # vectors that a task sorts, as far as tasks can be as many
 
 
 def _batch_top(key: str, queries: np.ndarray, k: int | None, least: float | None):
@@ -102,6 +103,8 @@ def best_pairs(asked: DataFrame, rows: DataFrame, key: str, k: int, sizes: list[
     each = lambda m: F.explode(F.sequence(F.lit(0), m - 1)).alias("_to")
     left = asked.select("*", each(slices)).select((start + spread("query", blocks) * slices + F.col("_to")).alias("unit"), F.lit(0).alias("side"), F.col("query").alias("q"), F.lit(None).cast(kind).alias("k"), "v", *more)
     right = rows.select("*", each(blocks)).select((start + F.col("_to") * slices + spread(key, slices)).alias("unit"), F.lit(1).alias("side"), F.lit(None).cast(by).alias("q"), F.col(key).alias("k"), F.col("v").cast(asked.schema["v"].dataType).alias("v"), *more)
+    moved = sum(q * s + r * b for (q, r), (b, s) in zip(sizes, grid, strict=True))
+    n = max(n, min(int(first[-1]), moved // HELD))
     dealt = left.unionByName(right).repartitionById(n, F.col("unit") % n).sortWithinPartitions("unit", "side")
     got = dealt.mapInArrow(_block_best(key, k, least, allowed), f"query {by.simpleString()}, {key} {kind.simpleString()}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col(key).asc()))
@@ -280,17 +283,19 @@ def rerank_mrl(df: DataFrame, key: str, vector: str, query: list[float], k: int,
 def similarity_join(df: DataFrame, key: str, vector: str, least: float, by: str | None = None, tile: int = TILE) -> DataFrame:
     """a, b, score (a < b) of pairs with cosine >= least; by: a column that both must share.
 
-    Exact. Rows are dealt to tiles of about `tile` rows of one group; a pair of tiles is one task's product, in memory
-    of two tiles, and gives only pairs over the threshold. A group of any size is spread over its tile pairs.
+    Exact. Rows are dealt to tiles of about `tile` rows of one group, and of up to eight times as many where a group has more
+    tiles than its pairs need to give each partition two tasks, as a row goes to every tile; a pair of tiles is one task's
+    product, in memory of two tiles, and gives only pairs over the threshold. A group of any size is spread over its tile pairs.
     """
     spark = df.sparkSession
     group = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("vector"), group.alias("g"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.count(F.lit(1))
+    sizes = rows.groupBy("g").agg(F.greatest(F.ceil(size / (8 * tile)), F.least(F.ceil(size / tile), F.lit(math.ceil(2 * math.sqrt(n))))).alias("tiles"))
     dealt = rows.join(sizes, "g").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda u: F.struct(F.least(F.col("t"), u).alias("i"), F.greatest(F.col("t"), u).alias("j")))
     sent = dealt.select("g", "t", "key", "vector", F.explode(others).alias("p")).select(F.concat_ws(":", "p.i", "p.j", "g").alias("pair"), (F.col("t") == F.col("p.j")).cast("int").alias("side"), "key", "vector", (F.col("p.i") == F.col("p.j")).alias("own"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):

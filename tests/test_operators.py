@@ -516,3 +516,27 @@ def test_failure_clusters_of_many_prints(spark, monkeypatch):
     assert 1 < len(seeds) < 200 and max(w.count() for w in written) <= 400
     assert {r["id"]: r["seed"] for r in memory.failure_clusters(df, 8, 5).collect()} == want
     assert memory.failure_clusters(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_auto_links_beside_all_pairs(spark, kind):
+    """Equal vectors, missing tables, times and vectors; no pair is kept that is not among a record's best, however many are over the threshold."""
+    rng = np.random.default_rng(13)
+    m = np.concatenate([rng.normal(size=(60, 6)), np.tile(rng.normal(size=(4, 6)), (40, 1))])
+    m = m[rng.permutation(len(m))].astype(np.float32)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"r{i:04d}")
+    t0 = dt.datetime(2024, 1, 1)
+    recs = [(name(i), None if i % 17 == 3 else "xy"[i % 2], None if i % 19 == 5 else t0 + dt.timedelta(minutes=int(rng.integers(0, 200)))) for i in range(len(m))]
+    vecs_ = [(name(i), [float(x) for x in v] if i % 23 != 7 else None) for i, v in enumerate(m)]
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    want = set()
+    for i, (a, at, x) in enumerate(recs):
+        found = []
+        for j, (b, bt, y) in enumerate(recs):
+            far = (at is not None and bt is not None and at != bt) or (x is not None and y is not None and abs(x - y) > dt.timedelta(hours=1))
+            if i < j and far and i % 23 != 7 and j % 23 != 7 and (s := round(float((u[i] * u[j]).sum()), 12)) >= 0.4:
+                found.append((-s, b))
+        want |= {(a, b, -s) for s, b in sorted(found)[:7]}
+    got = memory.auto_links(spark.createDataFrame(recs, f"id {kind}, tab string, at timestamp_ntz"), spark.createDataFrame(vecs_, f"id {kind}, vector array<float>"), "tab", "at", 0.4, 7)
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan  # pairs meet no table again
+    assert {(r["a"], r["b"], round(r["score"], 12)) for r in got.collect()} == want
